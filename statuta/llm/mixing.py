@@ -92,12 +92,13 @@ def _fold(seed: int, kind: str) -> str:
     return f"aggregate(items, CAST(struct(NULL AS a, array() AS done) AS struct<a:{item},done:array<{item}>>), (acc, x) -> CAST({step} AS struct<a:{item},done:array<{item}>>))"
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of each row of docs."""
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, chunk: int = CHUNK, draw: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of each row of docs; draw is what chance is drawn by, the id if not given."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text_hash = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    sizes = common.cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), text_hash)).alias("h")))
+    drawn = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), text_hash)) if draw is None else F.xxhash64(F.lit(seed), draw)
+    sizes = common.cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), drawn.alias("h")))
     targets = common.cut(source_targets(sizes.select("source", "size"), weights, share, most))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     wanted = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.n_docs", (F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)).alias("rate"))
