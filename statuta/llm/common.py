@@ -38,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Up to so many rows are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows. They are counted, so df should be cut; rows should hold a few numbers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once for an application."""
     sc = spark.sparkContext

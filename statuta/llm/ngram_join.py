@@ -154,25 +154,27 @@ def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def placed_in_blocks(members: DataFrame) -> DataFrame:
-    """Each member once for each block pair that it takes part in: pair (size class and block of both sides) and whether it is on the first, second or both sides.
+    """Each member once for each block pair that it takes part in: the pair (size class and block of both sides), and whether it is on the first, the second or both sides.
 
-    Size classes grow by the inverse of the threshold, so that linked sets are in equal or adjacent ones;
-    each is cut by hash into blocks of about BLOCK.
+    A component of at most BLOCK members is one block. In a larger one, size classes grow by the inverse of
+    the threshold, so that linked sets are in equal or adjacent ones; each is cut by hash into blocks of
+    about BLOCK. Only cells of large components are joined, so that a large component is no hot key.
     """
     grown = THRESHOLD[1] / THRESHOLD[0]
-    cls = F.floor(F.log("size") / F.lit(math.log(grown))).cast("int")
-    members = members.withColumn("cls", cls)
-    cells = common.cut(members.groupBy("comp", "cls").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    members = members.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(grown))).cast("int"))
+    large = members.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("comp")
+    cells = members.groupBy("comp", "cls").agg(F.count("*").alias("n")).join(large, "comp", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     near = lambda by, name: cells.select("comp", (F.col("cls") + by).alias("cls"), F.col("blocks").alias(name))
-    known = cells.join(near(-1, "above"), ["comp", "cls"], "left").join(near(1, "below"), ["comp", "cls"], "left")
-    out = members.join(known, ["comp", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    known = common.cut(cells.join(near(-1, "above"), ["comp", "cls"], "left").join(near(1, "below"), ["comp", "cls"], "left"))
+    out = members.join(common.small(known), ["comp", "cls"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda c1, b1, c2, b2, first, second: F.struct(c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"), first.alias("first"), second.alias("second"))
     c, b = F.col("cls"), F.col("block")
-    own = F.when(F.col("n") > 1, F.transform(up_to(F.col("blocks")), lambda q: pair(c, F.least(b, q), c, F.greatest(b, q), b <= q, b >= q)))
+    own = F.transform(up_to(F.col("blocks")), lambda q: pair(c, F.least(b, q), c, F.greatest(b, q), b <= q, b >= q))
     above = F.transform(up_to(F.coalesce("above", F.lit(0))), lambda q: pair(c, b, c + 1, q, F.lit(True), F.lit(False)))
     below = F.transform(up_to(F.coalesce("below", F.lit(0))), lambda q: pair(c - 1, q, c, b, F.lit(False), F.lit(True)))
-    sides = F.concat(F.coalesce(own, F.slice(above, 1, 0)), above, below)
+    zero, yes = F.lit(0), F.lit(True)
+    sides = F.when(F.col("blocks").isNull(), F.array(pair(zero, zero, zero, zero, yes, yes))).otherwise(F.concat(own, above, below))
     return out.select("node", "comp", "copies", F.explode(sides).alias("pair")).select("node", "comp", "copies", "pair.*")
 
 
@@ -219,10 +221,6 @@ def verify(members: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.join(texts, "node").groupBy("task").applyInPandas(run, "node long, label long, links long")
 
 
-#: Up to so many classes to verify go to all executors, to pick their texts without moving the others; more are joined by shuffle.
-BROADCAST_MEMBERS = 400_000
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, text_hash, class_id, n_links, n_copies and keeper of each row of docs.
 
@@ -238,8 +236,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     buckets = dealt.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "least")
     ties = dealt.join(buckets, "bucket").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     members = common.cut(classes.select("node", "first", "hash", "size", "copies").join(components(ties).withColumnRenamed("label", "comp"), "node"))
-    wanted = members.select(F.col("first").alias("__id"), F.col("hash").alias("__hash"), "node")
-    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_MEMBERS else wanted
+    wanted = common.small(members.select(F.col("first").alias("__id"), F.col("hash").alias("__hash"), "node"))
     texts = hashed.join(wanted, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id"))).select("node", "text")
     verified = common.cut(verify(members.select("node", "comp", "size", "copies"), texts))
     totals = verified.groupBy("node").agg(F.sum("links").alias("links"))
