@@ -167,18 +167,16 @@ def _distance() -> Column:
 
 def outliers(stats: DataFrame, groups: list[str], cutoff: float = CUTOFF, h: float = H, steps: int = STEPS, floor: tuple[float, ...] = FLOOR, least: int = LEAST) -> DataFrame:
     """stats with distance (squared Mahalanobis, robust); stats has DIMENSIONS, and judged says which rows teach and are judged."""
-    spark = stats.sparkSession
-    taught = stats.filter("judged")
-    sizes = taught.groupBy(*groups).agg(F.count("*").alias("size"))
+    stats = common.cut(stats)
+    sizes = stats.filter("judged").groupBy(*groups).agg(F.count("*").alias("size"))
     # groups are numbered by a hash of their names; small ones share number 0
     number = F.xxhash64(*groups, *(F.col(g).isNull() for g in groups))
-    large = sizes.filter(F.col("size") >= least).select(number.alias("grp"))
-    rows = stats.withColumn("key", number).join(large, F.col("key") == F.col("grp"), "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))).drop("key")
-    rows = common.cut(rows)
+    large = common.cut(sizes.filter(F.col("size") >= least).select(number.alias("grp")))
+    rows = stats.withColumn("key", number).join(common.small(large), F.col("key") == F.col("grp"), "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))).drop("key")
     taught = rows.filter("judged").select("grp", *DIMENSIONS)
     # the start: medians, and deviations from them on the diagonal
-    middle = taught.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mean"))
-    apart = taught.join(middle, "grp").select("grp", "mean", *(F.abs(F.col(x) - F.col("mean")[i]).alias(x) for i, x in enumerate(DIMENSIONS)))
+    middle = common.cut(taught.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mean")))
+    apart = taught.join(common.small(middle), "grp").select("grp", "mean", *(F.abs(F.col(x) - F.col("mean")[i]).alias(x) for i, x in enumerate(DIMENSIONS)))
     spread = apart.groupBy("grp").agg(F.first("mean").alias("mean"), F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mad"))
     k = len(DIMENSIONS)
     cross = [(F.col("mean")[i] * F.col("mean")[j] + (F.pow(1.4826 * F.col("mad")[i], 2) if i == j else F.lit(0.0))) for i in range(k) for j in range(i, k)]
@@ -186,11 +184,11 @@ def outliers(stats: DataFrame, groups: list[str], cutoff: float = CUTOFF, h: flo
     for step in range(steps):
         # the nearer h of a normal cloud are less spread than all of it
         last = step == steps - 1
-        near = taught.join(estimate, "grp").select("grp", *DIMENSIONS, _distance().alias("distance"))
-        bound = near.groupBy("grp").agg(F.percentile_approx("distance", h, ACCURACY).alias("bound"))
-        inner = near.join(bound, "grp").filter("distance <= bound").groupBy("grp").agg(*_moments())
+        near = taught.join(common.small(estimate), "grp").select("grp", *DIMENSIONS, _distance().alias("distance"))
+        bound = common.cut(near.groupBy("grp").agg(F.percentile_approx("distance", h, ACCURACY).alias("bound")))
+        inner = near.join(common.small(bound), "grp").filter("distance <= bound").groupBy("grp").agg(*_moments())
         estimate = common.cut(_inverted(inner, consistency(h, k) if last else 1.0, floor))
-    return rows.join(estimate, "grp", "left").withColumn("distance", F.when(F.col("judged") & F.col("mean").isNotNull(), _distance())).withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).drop("grp", "mean", "inverse")
+    return rows.join(common.small(estimate), "grp", "left").withColumn("distance", F.when(F.col("judged") & F.col("mean").isNotNull(), _distance())).withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).drop("grp", "mean", "inverse")
 
 
 def consistency(h: float, k: int) -> float:
