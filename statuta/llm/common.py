@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.session import ship  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,21 +44,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for an application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    if package.is_dir():  # else it is in an archive that was shipped before
-        out = os.path.join(os.path.realpath(tempfile.mkdtemp()), "statuta_package.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, f"{package.name}/{p.relative_to(package)}")
-        sc.addPyFile(out)
-    _shipped.add(sc.applicationId)
-
-
 def word_count(text: Column) -> Column:
     """Number of words in a text; null and empty have 0."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
