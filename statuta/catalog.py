@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -33,22 +31,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-@query(
-    "detect_regression",
-    """
-    WITH o AS (
-      SELECT doc_id, source, lang, length(text) AS len,
-             lag(doc_id) OVER w AS prev_doc_id, lag(length(text)) OVER w AS prev_len
-      FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)
-    )
-    SELECT doc_id, source, lang, CAST(len AS BIGINT) AS len, prev_doc_id, CAST(prev_len AS BIGINT) AS prev_len,
-           round(CAST(prev_len - len AS DOUBLE) / prev_len, 3) AS score
-    FROM o WHERE prev_len >= 200 AND len < 0.4 * prev_len
-    """,
-)
-def detect_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.length("text").alias("len"))
-    w = W.partitionBy("source", "lang").orderBy("doc_id")
-    docs = docs.select("*", F.lag("doc_id").over(w).alias("prev_doc_id"), F.lag("len").over(w).alias("prev_len"))
-    lost = docs.filter("prev_len >= 200 AND len < 0.4 * prev_len")
-    return lost.select("doc_id", "source", "lang", F.col("len").cast("long").alias("len"), "prev_doc_id", F.col("prev_len").cast("long").alias("prev_len"), F.round((F.col("prev_len") - F.col("len")).cast("double") / F.col("prev_len"), 3).alias("score"))
+def _load() -> None:
+    from statuta.plans import corpus, relational, review, streams  # noqa: F401
+
+
+_load()
