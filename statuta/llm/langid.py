@@ -97,7 +97,9 @@ class Automaton:
         start = np.zeros(width, np.int32)
         for c, t in moves[0].items():
             start[c] = t * width
-        self.steps = np.tile(~start, len(moves))
+        # the last state is that after a symbol which the sample lacks: such a symbol is a phrase of its own
+        start[0] = len(moves) * width
+        self.steps = np.tile(~start, len(moves) + 1)
         rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         columns = np.fromiter((c for m in moves for c in m), np.int64, len(rows))
         self.steps[rows * width + columns] = np.fromiter((t for m in moves for t in m.values()), np.int64, len(rows)) * width
@@ -196,18 +198,19 @@ def draw_samples(docs: DataFrame, teaches: Column, text_col: str = "text", lang_
     return tuple(out)
 
 
-def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with the predicted language and its score; columns of docs with these names are replaced."""
+    docs = docs.drop(*names)
     common.ship(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             for a, b in common.slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                names, score = identify(part.column(at), samples)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                found, score = identify(part.column(at), samples)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
