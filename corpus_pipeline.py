@@ -13,9 +13,9 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID; documents without a language go, the others get the predicted one."""
     samples = langid.draw_samples(docs, F.lit(True))
-    found = langid.predict(docs, samples)
-    kept = found.filter(F.col("lang_pred") != "und")
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, samples, names=("__lang", "__lang_score"))
+    kept = found.filter(F.col("__lang") != "und")
+    return kept.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document as many times as the mix takes it."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())  # a stage's input is read from files or a checkpoint, so rows keep their numbers
     taken = mixing.mix(rows, common.word_count(F.col("text")), "__row", draw=F.xxhash64("doc_id", "text"))
-    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("__taken"), "copies")
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("__taken"), F.col("copies").alias("__copies"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
     return rows.join(taken, F.col("__row") == F.col("__taken")).withColumn("__copy", copies).select(*docs.columns)
 
 

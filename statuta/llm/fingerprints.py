@@ -66,13 +66,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, carried: list[str], text_col: str = "text") -> DataFrame:
     """docs with next_<column> for each carried one, of the next row by falling id, the last row's of the first.
 
     Ids fall into buckets by equal ranges, and each bucket is one window, so that there is no global sort;
     the top row of each bucket also goes to the bucket above as a guest. Their ids are found by an
-    aggregation; there are at most MOST_BUCKETS of them.
+    aggregation; there are at most MOST_BUCKETS of them. Columns of docs with the names of new ones are replaced.
     """
+    docs = docs.drop(*(f"next_{c}" for c in carried), "__bucket", "__place", "__has")
     n, low, high = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
     if not n:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
@@ -87,7 +88,7 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     rows = rows.join(F.broadcast(edges), hit, "left")
     own = F.struct(F.col("__bucket").alias("at"), F.lit(0).alias("guest"))
     rows = rows.withColumn("__place", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("__to").alias("at"), F.lit(1).alias("guest"))))))
-    order = Window.partitionBy("__place.at").orderBy(F.col("__place.guest"), F.col(id_col).desc_nulls_last(), F.xxhash64("text"))
+    order = Window.partitionBy("__place.at").orderBy(F.col("__place.guest"), F.col(id_col).desc_nulls_last(), F.xxhash64(text_col))
     rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried), F.lead(F.lit(1)).over(order).alias("__has"))
     return rows.filter("__place.guest = 0").select(*docs.columns, *(f"next_{c}" for c in carried))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,21 +90,22 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", sizes: tuple[i
     own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     items = docs.select(F.pmod(F.xxhash64(F.col(id_col), own), F.lit(shards)).alias("shard"), F.col(id_col).alias("item"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
 
-    def pack_shard(shard: pd.DataFrame) -> pd.DataFrame:
-        base = int(shard["shard"].iloc[0]) << 31
-        item, sizes_of = shard["item"].tolist(), shard["n"].tolist()
+    def pack_shard(shard: pa.Table) -> pa.Table:
+        base = shard["shard"][0].as_py() << 31
+        item, sizes_of = shard["item"].to_pylist(), shard["n"].to_pylist()
         pieces = []  # row, piece, start, length
         for row, n in enumerate(sizes_of):
             pieces += [(row, k, k * top, min(top, n - k * top)) for k in range(max(1, -(-n // top)))]
         order = sorted((i for i, p in enumerate(pieces) if p[3]), key=lambda i: (-pieces[i][3], str(item[pieces[i][0]]), pieces[i][1]))
         where, offsets, fitted = pack_lengths([pieces[i][3] for i in order], sizes, cost) if order else ([], [], [])
         put = {i: (base + b, fitted[b], at) for i, b, at in zip(order, where, offsets, strict=True)}
-        out = [(item[r], k, at, n, *put.get(i, (None, 0, 0))) for i, (r, k, at, n) in enumerate(pieces)]
-        frame = pd.DataFrame(out, columns=["item", "piece", "piece_start", "length", "bin_id", "bin_size", "bin_offset"])
-        return frame.astype({"bin_id": "Int64"}) if shard["item"].dtype.kind not in "iuf" else frame.astype({"bin_id": "Int64", "item": shard["item"].astype("Int64").dtype if shard["item"].dtype.kind in "iu" else "Int64"})
+        out = list(zip(*((k, at, n, *put.get(i, (None, 0, 0))) for i, (_, k, at, n) in enumerate(pieces)), strict=True))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        columns = [shard["item"].combine_chunks().take(pa.array([p[0] for p in pieces])), *(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True))]
+        return pa.table(columns, names=["item", "piece", "piece_start", "length", "bin_id", "bin_size", "bin_offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = items.groupBy("shard").applyInPandas(pack_shard, f"item {kind}, piece int, piece_start long, length long, bin_id long, bin_size int, bin_offset long")
+    packed = items.groupBy("shard").applyInArrow(pack_shard, f"item {kind}, piece int, piece_start long, length long, bin_id long, bin_size int, bin_offset long")
     return packed.withColumnRenamed("item", id_col)
 
 

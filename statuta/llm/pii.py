@@ -184,10 +184,10 @@ def all_spans(text: str, patterns: dict[str, str]) -> tuple[list[tuple[str, int,
 
 
 def extract(docs: DataFrame, patterns: dict[str, str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, base and added: arrays of (kind, start, end)."""
+    """The kept columns (all but the text if none are named), base and added: arrays of (kind, start, end). Columns of docs with these names are replaced."""
     common.ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    docs = docs.select(text_col, *(c for c in keep if c != text_col))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "base", "added")]
+    docs = docs.select(text_col, *keep)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("base", span), T.StructField("added", span)])
     places = [docs.columns.index(c) for c in keep]

@@ -354,10 +354,10 @@ _scorers: dict[tuple, tuple] = {}
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and toxicity of each row."""
+    """The kept columns (all but the text if none are named) and toxicity of each row; a toxicity that docs has is replaced."""
     common.ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    docs = docs.select(text_col, *(c for c in keep if c != text_col))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "toxicity")]
+    docs = docs.select(text_col, *keep)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("toxicity", T.DoubleType())])
     places = [docs.columns.index(c) for c in keep]
 

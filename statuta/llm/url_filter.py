@@ -87,15 +87,13 @@ def rarest_tokens(subjects: DataFrame, rules: list[Rule]) -> dict[str, str | Non
 
 
 def judge(df: DataFrame, url_col: str, rules: list[Rule], default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
-    """df with host, path, matched_rule, matched_tier and verdict."""
+    """df with host, path, matched_rule, matched_tier and verdict; columns of df with these names are replaced."""
     names = [r.name for r in rules]
     if len(set(names)) != len(names):
         raise ValueError("rule names must differ")
-    fresh = {"host", "path", "matched_rule", "matched_tier", "verdict", "__subject", "__tokens", "__best"}
-    if taken := fresh & set(df.columns):
-        raise ValueError(f"columns would be overwritten: {sorted(taken)}")
     spark, url = df.sparkSession, F.col(url_col)
-    out = df.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("__subject", F.concat("host", "path"))
+    kept = [c for c in df.columns if c not in ("host", "path", "matched_rule", "matched_tier", "verdict", "__subject", "__tokens", "__best")]
+    out = df.select(*kept, host_of(url).alias("host"), path_of(url).alias("path")).withColumn("__subject", F.concat("host", "path"))
     out = out.withColumn("__tokens", F.array_distinct(F.regexp_extract_all("__subject", F.lit(f"({TOKEN})"), 1)))
     filed = rarest_tokens(out.select(F.col("__tokens").alias("tokens")), rules)
     entry = "struct<tier:int,len:int,name:string,action:string,regex:string>"
@@ -123,7 +121,7 @@ def judge(df: DataFrame, url_col: str, rules: list[Rule], default: str = "allow"
         won = fetched.filter(F.regexp("__subject", F.col("rule.regex"))).groupBy("__subject").agg(F.max(F.struct("rule.tier", "rule.len", "rule.name", "rule.action")).alias("__best"))
         out = out.join(won, "__subject", "left")
     return out.select(
-        *df.columns, "host", "path", F.col("__best.name").alias("matched_rule"), F.col("__best.tier").alias("matched_tier"), F.coalesce("__best.action", F.lit(default)).alias("verdict")
+        *kept, "host", "path", F.col("__best.name").alias("matched_rule"), F.col("__best.tier").alias("matched_tier"), F.coalesce("__best.action", F.lit(default)).alias("verdict")
     )
 
 
