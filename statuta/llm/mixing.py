@@ -101,7 +101,8 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     sizes = common.cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), drawn.alias("h")))
     targets = common.cut(source_targets(sizes.select("source", "size"), weights, share, most))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    wanted = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.n_docs", (F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)).alias("rate"))
+    few = common.small(targets)
+    wanted = sizes.alias("d").join(few.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.n_docs", (F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)).alias("rate"))
     wanted = wanted.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
     per_doc = ["source", "doc_id", "size", "whole"]
     fractional = (F.col("size") > 0) & (F.col("p") > 0)
@@ -126,7 +127,7 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    out = out.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    out = out.alias("d").join(few.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     return out.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", (F.col("d.whole") + F.round("d.p")).cast("long").alias("copies"))
 
 
