@@ -154,7 +154,7 @@ def confident_patterns(edges: DataFrame, confident: float = CONFIDENT, least: in
         sums = edges.select("pattern", "instance").join(scores.select("instance", "kind", "score"), "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("support"))
         patterns = sums.join(sizes, "pattern").select("pattern", "kind", "support", (F.col("sum") / (F.col("size") + 1)).alias("score")).filter((F.col("score") >= confident) & (F.col("support") >= least))
         patterns = common.cut(patterns)
-        found = edges.filter("able AND kind IS NULL").select("pattern", "instance").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.product(1 - F.col("score"))).alias("score"))
+        found = edges.filter("able AND kind IS NULL").select("pattern", "instance").join(common.small(patterns), "pattern").groupBy("instance", "kind").agg((1 - F.product(1 - F.col("score"))).alias("score"))
         scores = common.cut(seeds.unionByName(found))
     return patterns
 
