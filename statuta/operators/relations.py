@@ -53,8 +53,6 @@ def risk_rank(severity: Column) -> Column:
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """Rows offset + 1 to offset + limit in an order that must be total, with their rank in the page."""
-    from functools import reduce  # noqa: F401
-
     some = df.orderBy(*order).offset(offset).limit(limit)
     return some.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") + offset)
 

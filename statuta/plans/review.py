@@ -91,12 +91,13 @@ def detector_coverage(spark, sf_dir):
 
 @query("system_totals", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM events) AS findings, (SELECT count(*) FROM labels) AS reviews, (SELECT count(DISTINCT conv_id) FROM conversations) AS versions")
 def system_totals(spark, sf_dir):
-    counts = [table(spark, sf_dir, t).agg(F.count("*").alias(n)) for t, n in (("documents", "documents"), ("pages", "pages"), ("events", "findings"), ("labels", "reviews"))]
-    counts.append(table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id").alias("versions")))
+    names = {"documents": "documents", "pages": "pages", "events": "findings", "labels": "reviews", "conversations": "versions"}
+    number = {t: F.count_distinct("conv_id") if t == "conversations" else F.count("*") for t in names}
+    counts = [table(spark, sf_dir, t).agg(number[t].alias("n")).select(F.lit(n).alias("name"), "n") for t, n in names.items()]
     out = counts[0]
     for one in counts[1:]:
-        out = out.crossJoin(one)  # one row each
-    return out
+        out = out.union(one)
+    return out.agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names.values()))
 
 
 @query("detail_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
