@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+import corpus_pipeline
 from statuta.llm import common, fingerprints, langid, mixing, ngram_join, packing, pii, quality, sharding, tokens, toxicity, url_filter
 from tests.conftest import SF, SF01
 
@@ -451,6 +452,46 @@ def test_words_and_shingles():
     assert [b - a for a, b in common.slices(column, 64)] and sum(b - a for a, b in common.slices(column, 64)) == 201
 
 
+def test_pipeline_stages_against_plain_ones(spark, tmp_path):
+    rows, seen = common.read(spark, SF, "documents"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = rows.collect()
+        stage(spark, rows, SF).write.parquet(str(tmp_path / str(k)))
+        rows = spark.read.parquet(str(tmp_path / str(k)))
+        seen.append((before, rows.collect()))
+    (docs, spoken), (_, single), (_, masked), (_, copied), (_, packed) = seen
+
+    assert {r.doc_id for r in spoken} == {r.doc_id for r in docs if langid.has_letter(r.text)}
+    lang = {r.doc_id: r.lang for r in docs}
+    assert np.mean([r.lang == lang[r.doc_id] for r in spoken]) > 0.97
+
+    heads = plain_join({r.doc_id: r.text for r in spoken})
+    assert sorted(r.doc_id for r in single) == sorted(i for i, (c, _) in heads.items() if i == c)
+
+    text = {r.doc_id: r.text for r in single}
+    for r in masked:
+        for kind, a, b in plain_spans(text[r.doc_id]):
+            assert text[r.doc_id][a:b] not in r.text or text[r.doc_id][a:b] in "".join(f"[{k.upper()}]" for k in pii.KINDS), (kind, a, b)
+        assert not plain_spans(r.text) and r.n_chars == len(r.text)
+    assert all(r.text == text[r.doc_id] for r in masked if not plain_spans(text[r.doc_id]) and "=" not in text[r.doc_id])
+
+    size = {r.doc_id: len(WORD.findall(r.text)) for r in masked}
+    source, total = {r.doc_id: r.source for r in masked}, Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    want, copies, taken = plain_targets(dict(total)), Counter(r.doc_id for r in copied), Counter()
+    for i in size:
+        assert copies[i] in (int(want[source[i]] / total[source[i]]), int(want[source[i]] / total[source[i]]) + 1)
+        taken[source[i]] += copies[i] * size[i]
+    assert all(abs(taken[s] - want[s]) <= max(n for i, n in size.items() if source[i] == s) / 2 + 1 for s in want)
+
+    words, room = Counter(), defaultdict(int)
+    for r in packed:
+        words[r.doc_id] += r.length
+        room[r.bin_id, r.bin_size] += r.length
+    assert words == Counter({i: n * size[i] for i, n in copies.items()}) and all(n <= cap for (_, cap), n in room.items())
+
+
 def test_pipeline_of_the_smallest_table(spark):
     out = __spark_entry__.queries()["pipeline"](spark, SF).collect()
     assert out and all(r.length <= r.bin_size for r in out if r.length)
