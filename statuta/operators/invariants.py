@@ -7,7 +7,6 @@ doc (document, total_pages, sections_count, preamble, zone_mode, ...). Patterns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +28,7 @@ LEAF_PATTERNS: dict[str, tuple[tuple[str, ...], str]] = {
     "no_formula_legend_inside_cell": (("html",), r"(?i)<td[^>]*>[^<]*\bwhere\s+[A-Z]\s+is\s+the\b"),
     "no_inline_formula_legend": (("html",), r"(?i)class=\"formula\"[^>]*>[^<]*</\w+>\s*(?:<[^>]+>\s*)*where\b(?![^<]*legend)"),
 }
+CITED = r'<sup class="cite"[^>]*>([^<]+)</sup>'
 WORDS = ("the", "and", "of", "shall", "which", "that", "with", "under", "for", "this", "from", "section", "any", "such")
 STRUCTURAL = r"^\W*(?:CHAPTER\s+[IVXLC\d]+|(?i:PART)\s+[IVXLC\d]+[A-Z]?|(?i:DIVISION)\s+[IVXLC\d]+[A-Z]?)\W*$"
 ROMAN = {n: i for i, n in enumerate("I II III IV V VI VII VIII IX X".split(), 1)}
@@ -192,7 +192,7 @@ def ocr_rows(doc: DataFrame) -> DataFrame:
 
 def citations_resolve(leaf: DataFrame, note: DataFrame, share: float = 0.8) -> DataFrame:
     """Leaves that cite references; of those that exist, fewer than `share` are among the leaf's own notes."""
-    cites = leaf.select("document", "section_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"data-ref=\"([^\"]+)\""), 1))).alias("ref"))
+    cites = leaf.select("document", "section_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CITED), 1))).alias("ref"))
     own = note.select("document", "section_id", "ref", F.lit(1).alias("own")).distinct()
     known = note.select("document", "ref", F.lit(1).alias("known")).distinct()
     rows = cites.join(own, ["document", "section_id", "ref"], "left").join(known, ["document", "ref"]).groupBy("document").agg(F.sum(F.coalesce("own", F.lit(0))).alias("bound"), F.count("*").alias("all"))
@@ -215,31 +215,3 @@ def report(found: DataFrame, most: int = 20) -> DataFrame:
     counted = found.groupBy("document", "invariant").agg(F.count("*").alias("failures"))
     first = found.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).groupBy("document", "invariant").agg(F.sort_array(F.collect_list("subject")).alias("subjects"))
     return counted.join(first, ["document", "invariant"])
-
-
-# Parameterised checks: kind -> column that must hold for the target's leaves, and how many of them must.
-CHECKS: dict[str, tuple[str, Callable[[Column, str], Column]]] = {}
-for _column in ("plain_text", "html", "preamble"):
-    _name = {"plain_text": "plain"}.get(_column, _column)
-    CHECKS[f"{_name}_contains"] = ("any", lambda c, arg, col=_column: F.contains(F.coalesce(F.col(col), F.lit("")), F.lit(arg)))
-    CHECKS[f"{_name}_not_contains"] = ("all", lambda c, arg, col=_column: ~F.contains(F.coalesce(F.col(col), F.lit("")), F.lit(arg)))
-    CHECKS[f"{_name}_matches"] = ("any", lambda c, arg, col=_column: F.coalesce(F.col(col), F.lit("")).rlike(arg))
-    CHECKS[f"{_name}_not_matches"] = ("all", lambda c, arg, col=_column: ~F.coalesce(F.col(col), F.lit("")).rlike(arg))
-CHECKS |= {
-    "section_heading_equals": ("all", lambda c, arg: F.col("heading") == F.lit(arg)),
-    "body_not_starts_with": ("all", lambda c, arg: ~F.startswith(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)^.*?</h4>\s*", ""), F.lit(arg))),
-    "has_fbr_table": ("any", lambda c, arg: F.coalesce("html", F.lit("")).rlike(r"(?i)<table\b")),
-    "has_subsection_li": ("any", lambda c, arg: F.coalesce("html", F.lit("")).rlike(rf"(?i)<li[^>]*>\s*{re.escape(arg)}")),
-    "section_code_count": ("count", lambda c, arg: F.lit(True)),
-    "division_page_range": ("all", lambda c, arg: F.concat_ws("-", "start_page", "end_page") == F.lit(arg)),
-}
-
-
-def check(leaf: DataFrame, kind: str, code: str, arg: str, scope: str | None = None) -> DataFrame:
-    """One row: whether a check passes for the leaves with this code, in documents whose name holds scope."""
-    how, holds = CHECKS[kind]
-    rows = leaf.filter(F.col("code") == code)
-    rows = rows.filter(F.contains("document", F.lit(scope))) if scope else rows
-    ok = holds(F.col("code"), arg)
-    passed = {"any": F.count_if(ok) > 0, "all": (F.count_if(~ok) == 0) & (F.count("*") > 0), "count": F.count("*") == F.lit(arg).try_cast("long")}[how]
-    return rows.agg(passed.alias("passed")).select(F.lit(kind).alias("kind"), F.lit(code).alias("code"), "passed")

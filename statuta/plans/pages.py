@@ -80,12 +80,3 @@ def invariant_code_order(spark, sf_dir):
 @query("invariant_structural_lines")
 def invariant_structural_lines(spark, sf_dir):
     return I.structural_lines(leaf_frames(spark, sf_dir)[0])
-
-
-@query("regression_checks", """
-    SELECT 'plain_contains' AS kind, '7' AS code, count(*) FILTER (contains(text, 'license')) > 0 AS passed FROM documents WHERE doc_id % 50 = 7
-    UNION ALL SELECT 'plain_not_contains', '8', count(*) FILTER (contains(text, 'license')) = 0 AND count(*) > 0 FROM documents WHERE doc_id % 50 = 8
-    UNION ALL SELECT 'section_code_count', '9', count(*) = 20 FROM documents WHERE doc_id % 50 = 9""")
-def regression_checks(spark, sf_dir):
-    leaf = leaf_frames(spark, sf_dir)[0]
-    return I.check(leaf, "plain_contains", "7", "license").union(I.check(leaf, "plain_not_contains", "8", "license")).union(I.check(leaf, "section_code_count", "9", "20"))

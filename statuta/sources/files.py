@@ -10,12 +10,25 @@ FOOTNOTE = T.StructType([T.StructField(n, t) for n, t in (("ref", T.StringType()
 SECTION = T.StructType([
     T.StructField("code", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("start_page", T.IntegerType()), T.StructField("page_number", T.IntegerType()), T.StructField("end_page", T.IntegerType()),
     T.StructField("html", T.StringType()), T.StructField("plain_text", T.StringType()), T.StructField("footnotes", T.ArrayType(FOOTNOTE)),
+    T.StructField("ocr_review", T.ArrayType(T.StringType())),
 ])
 DIVISION = T.StructType([*SECTION.fields, T.StructField("sections", T.ArrayType(SECTION))])
 PART = T.StructType([*DIVISION.fields, T.StructField("divisions", T.ArrayType(DIVISION))])
 CONTAINER = T.StructType([*PART.fields, T.StructField("parts", T.ArrayType(PART))])
+CALIBRATION = T.StructType([
+    *(T.StructField(n, T.DoubleType()) for n in "page_w page_h header_max_top footer_min_top body_size footnote_size body_min_size rule_x0_lo rule_x0_hi rule_w_lo rule_w_hi page_offset_support".split()),
+    T.StructField("zone_mode", T.StringType()), T.StructField("page_offset", T.IntegerType()), T.StructField("pages_sampled", T.IntegerType()),
+])
+OCR = T.StructType([
+    T.StructField("pages", T.IntegerType()), T.StructField("pages_ocred", T.ArrayType(T.IntegerType())), T.StructField("needs_review_tokens", T.IntegerType()), T.StructField("mean_agreement", T.DoubleType()),
+    T.StructField("low_conf_share", T.DoubleType()), T.StructField("provisional", T.BooleanType()), T.StructField("provisional_reason", T.StringType()),
+])
+METADATA = T.StructType([
+    T.StructField("filename", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("total_pages", "toc_pages_scanned", "sections_count", "chapters_count", "schedules_count")),
+    T.StructField("calibration", CALIBRATION), T.StructField("ocr", OCR),
+])
 DOCUMENT = T.StructType([
-    T.StructField("metadata", T.StructType([T.StructField("filename", T.StringType()), T.StructField("total_pages", T.IntegerType()), T.StructField("sections_count", T.IntegerType()), T.StructField("chapters_count", T.IntegerType())])),
+    T.StructField("metadata", METADATA),
     T.StructField("preamble", T.StringType()), T.StructField("chapters", T.ArrayType(CONTAINER)), T.StructField("schedules", T.ArrayType(CONTAINER)),
 ])
 

@@ -104,7 +104,6 @@ def test_invariants(spark):
     for want in (("no_glued_marker_digit", "0"), ("no_bare_footnote_marker_line", "1"), ("no_stray_space_hyphen", "2"), ("no_jammed_words", "3"), ("no_structural_heading_in_body", "4"), ("strong_balanced", "5"), ("no_page_number_bleed", "6"), ("no_stray_dotnumber", "7"), ("section_codes_ordered", "1"), ("footnote_schema", "0"), ("footnote_refs_printed_page", "0"), ("no_year_marker_refs", "0"), ("footnotes_in_numeric_order", "0"), ("no_orphan_sections", "d"), ("text_density_plausible", "d"), ("zone_mode_none_has_no_footnotes", "d"), ("clause_codes_plausible", "0")):
         assert want in by, want
     assert invariants.report(found).filter("invariant = 'no_jammed_words'").first().subjects == ["3"]
-    assert invariants.check(leaf, "plain_contains", "4", "fine").first().passed and not invariants.check(leaf, "plain_contains", "9", "fine").first().passed
 
 
 def test_merge(spark):
