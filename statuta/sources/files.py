@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +33,14 @@ DOCUMENT = T.StructType([
 ])
 
 
+def file_name() -> Column:
+    """The name of the file that a row was read from; paths come with percent escapes, in which a plus is itself."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Document JSON files, with the name of each."""
-    return spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("file", file_name())
 
 
 def flatten(documents: DataFrame, key: str = "file") -> DataFrame:
@@ -66,8 +71,6 @@ def flatten(documents: DataFrame, key: str = "file") -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    from pyspark.sql import Window
-
     start = F.coalesce(F.nullif("start_page", F.lit(0)), F.nullif("page_number", F.lit(0)))
     out = out.withColumn("start_page", start).drop("page_number")
     return out.withColumn("sort_order", F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("start_page", F.lit(0)), "place")) - 1)
@@ -99,7 +102,7 @@ def read_ocr_report(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the Markdown tables of disagreements."""
     lines = spark.read.text(path).filter(F.col("value").rlike(OCR_ROW))
     names = (("page", "int"), ("x0", "int"), ("top", "int"), ("tesseract", "string"), ("tess_conf", "double"), ("rapidocr", "string"), ("rapid_conf", "double"), ("accepted", "string"))
-    return lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), *(F.regexp_extract("value", OCR_ROW, i).cast(t).alias(n) for i, (n, t) in enumerate(names, 1)))
+    return lines.select(file_name().alias("file"), *(F.regexp_extract("value", OCR_ROW, i).cast(t).alias(n) for i, (n, t) in enumerate(names, 1)))
 
 
 def write_documents(rows: DataFrame, path: str) -> None:

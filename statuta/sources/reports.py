@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.sources.files import file_name
+
 RESULT = "struct<invariants:array<struct<name:string,passed:boolean,failures:array<string>>>,cases:array<struct<passed:boolean>>>"
 EDITIONS = "struct<editions:array<struct<json:string,name:string,body_conserved:double,body_missing:long,footnote_conserved:double,footnote_missing:long,passed:boolean>>>"
 
@@ -14,7 +16,7 @@ def stem(path: Column) -> Column:
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(file_name().alias("file"), "value")
 
 
 def read_invariants(spark: SparkSession, path: str, most: int = 5) -> DataFrame:

@@ -64,10 +64,10 @@ def test_reports(spark, tmp_path):
     one = {"invariants": [{"name": "a", "passed": True}, {"name": "b", "passed": False, "failures": list("uvwxyz")}], "cases": [{"passed": True}]}
     (tmp_path / "many").mkdir()
     (tmp_path / "many" / "r.json").write_text(json.dumps({"out/x.json": one, "out/y.json": {"invariants": []}}))
-    (tmp_path / "act one.json").write_text(json.dumps(one))
+    (tmp_path / "act one +1%.json").write_text(json.dumps(one))
     many = {r.edition: r for r in reports.read_invariants(spark, str(tmp_path / "many")).collect()}
     assert set(many) == {"x", "y"} and many["x"].failing_invariants == ["b"] and many["x"].failures[0].failures == list("uvwxy") and many["y"].invariants_total == 0
-    assert [(r.edition, r.invariants_passed, r.cases_passed) for r in reports.read_invariants(spark, str(tmp_path / "act*.json")).collect()] in ([("act one", 1, 1)], [("act%20one", 1, 1)])
+    assert [(r.edition, r.invariants_passed, r.cases_passed) for r in reports.read_invariants(spark, str(tmp_path / "act*.json")).collect()] == [("act one +1%", 1, 1)]
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "c.json").write_text(json.dumps({"editions": [{"json": "a/x.json", "body_conserved": 99.9, "passed": False}, {"name": "", "passed": True}]}))
     conserved = reports.read_conservation(spark, str(tmp_path / "c"))
