@@ -108,12 +108,13 @@ def page_number_bleed(leaf: DataFrame, offset: int = 0) -> DataFrame:
 
 
 def footnote_rows(note: DataFrame) -> DataFrame:
-    """Schema, page and year of references."""
+    """Schema, page and year of references; ordinals cut from their numbers."""
     missing = violation(note.filter("ref IS NULL OR marker IS NULL OR text IS NULL OR html IS NULL"), "footnote_schema", "section_id", "ref")
     page = F.nullif(F.regexp_extract(F.coalesce("ref", F.lit("")), r"^(\d+)\.", 1), F.lit("")).cast("int")
     pages = violation(note.filter(page.isNull() | (page > 900)), "footnote_refs_printed_page", "section_id", "ref")
     years = violation(note.filter(T.is_year_like(F.regexp_extract(F.coalesce("ref", F.lit("")), r"\.([^.]*)$", 1))), "no_year_marker_refs", "section_id", "ref")
-    return missing.unionByName(pages).unionByName(years)
+    split = violation(note.filter(F.coalesce("text", F.lit("")).rlike(r"\b\d+ (?:st|nd|rd|th)\b|^(?:st|nd|rd|th)\b")), "no_split_ordinals", "section_id", "ref")
+    return missing.unionByName(pages).unionByName(years).unionByName(split)
 
 
 def footnote_order(note: DataFrame) -> DataFrame:

@@ -97,12 +97,13 @@ LEAF = "document string, section_id long, code string, heading string, hierarchy
 def test_invariants(spark):
     texts = ["glued a7[ here", "12\n[text", "exam- ple and example", "THEshallwhichthatwithunderforthis", "PART I", "fine", "ends here. 13", ".25"]
     leaf = spark.createDataFrame([("d", i, str(9 - i), "Some heading", "chapter", "I", None, None, 13, 14, t, "<strong>x" if i == 5 else "<p>x</p>", i) for i, t in enumerate(texts)], LEAF)
-    note = spark.createDataFrame([("d", 0, 0, "3.1990", "1990", 3, "t", "h"), ("d", 0, 1, "bad", "2", 3, "t", "h"), ("d", 0, 2, "3.1", "1", 3, None, "h")], "document string, section_id long, idx int, ref string, marker string, page int, text string, html string")
+    note = spark.createDataFrame([("d", 0, 0, "3.1990", "1990", 3, "t 30 th June", "h"), ("d", 0, 1, "bad", "2", 3, "t", "h"), ("d", 0, 2, "3.1", "1", 3, None, "h")], "document string, section_id long, idx int, ref string, marker string, page int, text string, html string")
     doc = spark.createDataFrame([("d", 100, 7, None, "none")], "document string, total_pages int, sections_count int, preamble string, zone_mode string")
     found = invariants.violations(leaf, note, doc)
     by = {(r.invariant, r.subject) for r in found.collect()}
     for want in (("no_glued_marker_digit", "0"), ("no_bare_footnote_marker_line", "1"), ("no_stray_space_hyphen", "2"), ("no_jammed_words", "3"), ("no_structural_heading_in_body", "4"), ("strong_balanced", "5"), ("no_page_number_bleed", "6"), ("no_stray_dotnumber", "7"), ("section_codes_ordered", "1"), ("footnote_schema", "0"), ("footnote_refs_printed_page", "0"), ("no_year_marker_refs", "0"), ("footnotes_in_numeric_order", "0"), ("no_orphan_sections", "d"), ("text_density_plausible", "d"), ("zone_mode_none_has_no_footnotes", "d"), ("clause_codes_plausible", "0")):
         assert want in by, want
+    assert [r.evidence for r in found.filter("invariant = 'no_split_ordinals'").collect()] == ["3.1990"]
     assert invariants.report(found).filter("invariant = 'no_jammed_words'").first().subjects == ["3"]
 
 
