@@ -125,3 +125,45 @@ def sign_offs(requests: DataFrame, documents: DataFrame) -> DataFrame:
         .when((F.col("stage") == "legal_approved") & (F.col("reviewed_by") == F.col("actor")), "same_actor")
     )
     return rows.select("document", "stage", "actor", error.alias("error"))
+
+
+ACTIVE_HTML = r"(?i)<\s*(script|style|iframe|object|embed|link|meta|form)\b|\bon[a-z]+\s*=|javascript\s*:"
+
+
+def proposal_issues(proposals: DataFrame, originals: DataFrame) -> DataFrame:
+    """document, section_id, level, code: what speaks against changed leaves; an error blocks approval. Null columns of a proposal leave the original as it is.
+
+    Both: document, section_id, html, plain_text, start_page, end_page, footnotes (marker, text, html). Executors need the package.
+    """
+    from statuta.functions.python import visible_text
+
+    names = ("html", "plain_text", "start_page", "end_page", "footnotes")
+    old = originals.select("document", "section_id", *(F.col(c).alias(f"old_{c}") for c in names))
+    rows = proposals.select("document", "section_id", *names).join(old, ["document", "section_id"])
+    for c in ("html", "plain_text"):
+        rows = rows.withColumn(c, F.coalesce(c, f"old_{c}", F.lit("")))
+    rows = rows.withColumn("seen", visible_text("html"))
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    notes, old_notes = F.col("footnotes"), F.coalesce("old_footnotes", F.array())
+    markers = lambda x: F.transform(x, lambda n: F.coalesce(n["marker"], F.lit("None")))
+    first = F.nullif("old_start_page", F.lit(0))
+    last = F.coalesce(F.nullif("old_end_page", F.lit(0)), first)
+    moved = first.isNotNull() & last.isNotNull()
+    issues = {
+        "unsafe_html": F.col("html").rlike(ACTIVE_HTML) | F.coalesce(F.exists(notes, lambda n: _text(n["html"]).rlike(ACTIVE_HTML)), F.lit(False)),
+        "empty_body": (F.trim("plain_text") == "") & (F.trim(_text(F.col("old_plain_text"))) != ""),
+        "html_plain_parity": squeezed(F.col("seen")) != squeezed(F.col("plain_text")),
+        "page_coverage_changed": moved & (F.coalesce(F.col("start_page") != first, F.lit(False)) | F.coalesce(F.col("end_page") != last, F.lit(False))),
+        "bad_footnote": F.coalesce(F.exists(notes, lambda n: n["marker"].isNull() | n["text"].isNull()), F.lit(False)),
+        "footnote_marker_conservation": notes.isNotNull() & (markers(F.coalesce(notes, F.array())) != markers(old_notes)),
+        "no_change": (F.trim("plain_text") == F.trim(_text(F.col("old_plain_text")))) & (F.trim("html") == F.trim(_text(F.col("old_html")))),
+    }
+    found = [F.when(bad, F.struct(F.lit("warning" if code == "no_change" else "error").alias("level"), F.lit(code).alias("code"))) for code, bad in issues.items()]
+    return rows.select("document", "section_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("document", "section_id", "i.*")
+
+
+def sync_actions(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """key, action: skipped if the stored document has the same source hash, files that can be read and a lane; else updated, or created. found: key, source_hash; stored: key, source_hash, usable, lane."""
+    rows = found.join(stored.select("key", F.col("source_hash").alias("old"), "usable", "lane", F.lit(True).alias("known")), "key", "left")
+    same = F.col("old").eqNullSafe(F.col("source_hash")) & F.coalesce("usable", F.lit(False)) & (F.coalesce("lane", F.lit("")) != "")
+    return rows.select("key", F.when(F.col("known").isNull(), "created").when(same, "skipped").otherwise("updated").alias("action"))

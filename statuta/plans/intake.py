@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statuta.catalog import query
 from statuta.operators import intake as I
+from statuta.session import ship
 from statuta.sources.tables import table
 
 
@@ -100,3 +101,33 @@ def sign_offs(spark, sf_dir):
     requests = orders.select(key.alias("document"), F.when(key % 3 == 0, "reviewed").when(key % 3 == 1, "legal_approved").otherwise("other").alias("stage"), F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string")).alias("actor"))
     documents = orders.filter(key % 11 != 0).select(key.alias("document"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("in_progress").alias("status"), F.when(F.col("o_orderstatus") == "O", "reviewed").alias("signoff_stage"), F.concat(F.lit("a"), (key % 2).cast("string")).alias("reviewed_by"))
     return I.sign_offs(requests, documents)
+
+
+@query("proposal_issues", """
+    WITH p AS (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS plain FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, plain AS old_plain, '<p>' || plain || '</p>' AS old_html, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN plain || ' more' ELSE plain END AS plain, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<p>' || plain || '<b> more</b></p>' WHEN 2 THEN '<p onclick=x>' || plain || '</p>' ELSE '<p>' || plain || '</p>' END AS html FROM p),
+    found AS (
+      SELECT doc_id, 'error' AS level, 'unsafe_html' AS code FROM r WHERE doc_id % 5 = 2 UNION ALL SELECT doc_id, 'error', 'empty_body' FROM r WHERE trim(plain) = '' AND trim(old_plain) <> ''
+      UNION ALL SELECT doc_id, 'error', 'page_coverage_changed' FROM r WHERE doc_id % 7 = 3 UNION ALL SELECT doc_id, 'error', 'footnote_marker_conservation' FROM r WHERE doc_id % 11 = 4
+      UNION ALL SELECT doc_id, 'warning', 'no_change' FROM r WHERE trim(plain) = trim(old_plain) AND html = old_html)
+    SELECT 'd' AS document, doc_id AS section_id, level, code FROM found""")
+def proposal_issues(spark, sf_dir):
+    ship(spark)
+    i = F.col("doc_id")
+    plain = F.regexp_replace("text", "[^A-Za-z]+", " ")
+    note = lambda marker: F.array(F.struct(marker.alias("marker"), F.lit("t").alias("text"), F.lit("t").alias("html")))
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("plain", plain).withColumn("html", F.concat(F.lit("<p>"), "plain", F.lit("</p>")))
+    head = [F.lit("d").alias("document"), i.alias("section_id")]
+    originals = rows.select(*head, "html", F.col("plain").alias("plain_text"), F.lit(3).alias("start_page"), F.lit(4).alias("end_page"), note(F.lit("1")).alias("footnotes"))
+    html = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat(F.lit("<p>"), "plain", F.lit("<b> more</b></p>"))).when(i % 5 == 2, F.concat(F.lit("<p onclick=x>"), "plain", F.lit("</p>"))).when(i % 5 == 3, F.col("html"))
+    changed = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat("plain", F.lit(" more")))
+    proposals = rows.select(*head, html.alias("html"), changed.alias("plain_text"), F.when(i % 7 == 3, 2).alias("start_page"), F.lit(None).cast("int").alias("end_page"), F.when(i % 11 == 4, note(F.lit("2"))).alias("footnotes"))
+    return I.proposal_issues(proposals, originals)
+
+
+@query("sync_actions", """
+    SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'created' WHEN o_orderkey % 3 <> 1 AND o_orderstatus <> 'P' AND o_orderkey % 5 > 0 THEN 'skipped' ELSE 'updated' END AS action FROM orders""")
+def sync_actions(spark, sf_dir):
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    stored = orders.filter(key % 4 > 0).select(key.alias("key"), F.when(key % 3 == 1, "old").otherwise("h").alias("source_hash"), (F.col("o_orderstatus") != "P").alias("usable"), F.when(key % 5 > 0, "lane").alias("lane"))
+    return I.sync_actions(orders.select(key.alias("key"), F.lit("h").alias("source_hash")), stored)

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from statuta.operators import intake as I
+from statuta.session import ship
 from statuta.sources import reports
 
 
@@ -75,3 +76,20 @@ def test_reports(spark, tmp_path):
     versions = spark.createDataFrame([(1, "x")], "document_id long, edition string")
     found, unknown = reports.metrics(reports.read_invariants(spark, str(tmp_path / "many")), conserved, versions)
     assert [(r.document_id, r.gate_ok, r.cases_total) for r in found.collect()] == [(1, False, 1)] and [r.edition for r in unknown.collect()] == ["y"]
+
+
+def test_proposals(spark):
+    ship(spark)
+    columns = "document string, section_id long, html string, plain_text string, start_page int, end_page int, footnotes array<struct<marker:string,text:string,html:string>>"
+    old = spark.createDataFrame([("d", i, "<p>a  b</p>", "a b", 1, 2, [("1", "t", "t")]) for i in range(6)], columns)
+    new = [("d", 0, None, None, None, None, None), ("d", 1, "<p>x<script>y</script></p>", "x", 1, 3, None), ("d", 2, "", "", None, None, []), ("d", 3, "<p>c</p>", "d", None, None, [("1", None, "<a onclick=f>")]), ("d", 4, "<p>c</p>", "c", 1, 2, [("1", "u", None)]), ("d", 9, "z", "z", 1, 1, None)]
+    got = {}
+    for r in I.proposal_issues(spark.createDataFrame(new, columns), old).collect():
+        got.setdefault(r.section_id, set()).add(r.code)
+    assert got == {0: {"no_change"}, 1: {"unsafe_html", "page_coverage_changed"}, 2: {"empty_body", "footnote_marker_conservation"}, 3: {"html_plain_parity", "unsafe_html", "bad_footnote"}}
+
+
+def test_sync(spark):
+    found = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "h"), ("e", None)], "key string, source_hash string")
+    stored = spark.createDataFrame([("a", "h", True, "l"), ("b", "h", None, "l"), ("e", None, True, "l")], "key string, source_hash string, usable boolean, lane string")
+    assert {tuple(r) for r in I.sync_actions(found, stored).collect()} == {("a", "skipped"), ("b", "updated"), ("c", "created"), ("e", "skipped")}
