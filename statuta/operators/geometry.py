@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -232,19 +233,45 @@ def chapter_value(numeral: str) -> int | None:
     return int(numeral) if numeral.isdigit() else from_roman(re.sub(r"[^IVXLCDM]", "", numeral.upper()) or "")
 
 
+def each_page(rows: DataFrame, order: list[str], columns: list[str], fold: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """What fold gives for the rows of each page in order. Pages come sorted, so one pass over a partition holds one page at a time."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def done() -> list[tuple]:
+            return [(*key, *row) for row in fold(held)] if held else []
+
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                found = (row["document"], int(row["page"]))
+                if found != key:
+                    out += done()
+                    key, held = found, []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(done(), columns=names)
+
+    pages = rows.filter("page IS NOT NULL").select("document", "page", *columns).repartition("document", "page").sortWithinPartitions("document", "page", *order)
+    return pages.mapInPandas(run, schema)
+
+
 def page_lines(words: DataFrame) -> DataFrame:
     """Lines of each page: line, top, x0, size (the largest), text."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0"], kind="stable")
-        page["line"] = group_lines(page["top"].tolist())
+    def fold(page: list[dict]) -> list[tuple]:
+        lines: dict[int, list[dict]] = {}
+        for line, word in zip(group_lines([w["top"] for w in page]), page):
+            lines.setdefault(line, []).append(word)
         out = []
-        for line, rows in page.groupby("line"):
-            merged = merge_split_words(rows.sort_values("x0").to_dict("records"))
-            out.append((page["document"].iloc[0], int(page["page"].iloc[0]), int(line), float(rows["top"].min()), float(rows["x0"].min()), float(rows["size"].max()), join_words(merged)))
-        return pd.DataFrame(out, columns=["document", "page", "line", "top", "x0", "size", "text"])
+        for line, held in sorted(lines.items()):
+            merged = merge_split_words(sorted(held, key=lambda w: w["x0"]))
+            out.append((line, min(w["top"] for w in held), min(w["x0"] for w in held), max(w["size"] for w in held), join_words(merged)))
+        return out
 
-    return words.groupBy("document", "page").applyInPandas(run, "document string, page int, line int, top double, x0 double, size double, text string")
+    return each_page(words, ["top", "x0", "text"], [c for c in words.columns if c not in ("document", "page")], fold, "document string, page int, line int, top double, x0 double, size double, text string")
 
 
 def without_running_heads(lines: DataFrame, header: float, footer: float) -> DataFrame:
@@ -258,13 +285,11 @@ def without_running_heads(lines: DataFrame, header: float, footer: float) -> Dat
 def page_footnotes(lines: DataFrame, boundary: float) -> DataFrame:
     """Notes of each page: marker (null: a continuation) and text, below the place where small lines begin."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line")
-        at = zone_top(page["size"].tolist(), boundary)
-        notes = parse_footnotes(page["text"].tolist()[at:]) if at is not None else []
-        return pd.DataFrame([(page["document"].iloc[0], int(page["page"].iloc[0]), i, m, t) for i, (m, t) in enumerate(notes)], columns=["document", "page", "idx", "marker", "text"])
+    def fold(page: list[dict]) -> list[tuple]:
+        at = zone_top([r["size"] for r in page], boundary)
+        return [(i, m, t) for i, (m, t) in enumerate(parse_footnotes([r["text"] for r in page[at:]]))] if at is not None else []
 
-    return lines.groupBy("document", "page").applyInPandas(run, "document string, page int, idx int, marker string, text string")
+    return each_page(lines, ["line", "text"], ["line", "size", "text"], fold, "document string, page int, idx int, marker string, text string")
 
 
 def calibrate(lines: DataFrame, least: int = 4) -> DataFrame:
