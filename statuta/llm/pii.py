@@ -9,8 +9,8 @@ with at least LEAST distinct instances: 1 - product of (1 - score). Seeds keep s
 the patterns that still are confident find identifiers that no base pattern knows, in a last pass.
 
 The graph is aggregated before it is shuffled, and so is each pattern's sum, so that a frequent cue
-makes no task large. Accepted patterns go to the executors: each needs LEAST distinct instances, and
-LEAST is doubled until there are at most MOST_PATTERNS.
+makes no task large. Accepted patterns go to the executors, at most MOST_PATTERNS, those with the most distinct
+instances; what is beyond is joined with the texts' cues by shuffle, so that all of them are applied.
 
 Positions are code points, ends exclusive. Nulls: a null text is empty and has no span. Null ids, ties and
 repeated rows are judged like others. An empty table gives an empty result.
@@ -159,23 +159,59 @@ def confident_patterns(edges: DataFrame, confident: float = CONFIDENT, least: in
     return patterns
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> dict[str, str]:
-    """Accepted patterns, and the kind that each finds."""
-    patterns, least = confident_patterns(graph(docs, text_col)), LEAST
-    while patterns.filter(F.col("support") >= least).count() > MOST_PATTERNS:
-        least *= 2
-    best: dict[str, tuple[float, str]] = {}
-    for r in patterns.filter(F.col("support") >= least).collect():
-        best[r.pattern] = max(best.get(r.pattern, (0.0, "")), (r.score, r.kind))
-    return {p: kind for p, (_, kind) in best.items()}
+class Patterns(dict):
+    """Accepted patterns, and the kind that each finds. rest: pattern and kind of those beyond MOST_PATTERNS, a table, or None."""
 
+    rest: DataFrame | None = None
 
-def all_spans(text: str, patterns: dict[str, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and those that patterns add; each by kind, then start."""
-    spans, added = base_spans(text), []
+
+def learn(docs: DataFrame, text_col: str = "text") -> Patterns:
+    """All accepted patterns; the kind of each is that of the highest score."""
+    found = confident_patterns(graph(docs, text_col))
+    best = common.cut(found.groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("best"), F.max("support").alias("support")).select("pattern", "best.kind", "support"))
+    many = best.count() > MOST_PATTERNS
+    first = common.cut(best.orderBy(F.desc("support"), "pattern").limit(MOST_PATTERNS)) if many else best
+    out = Patterns((r.pattern, r.kind) for r in first.collect())
+    if many:
+        out.rest = common.cut(best.join(F.broadcast(first.select("pattern")), "pattern", "left_anti").select("pattern", "kind"))
+    return out
+
+
+_KEY_COL, _MORE = "__pii_key", "__pii_more"
+
+
+def with_rest(docs: DataFrame, patterns: dict[str, str], text_col: str) -> DataFrame:
+    """docs and, if some patterns are not broadcast, a map of those that the row's text has, with their kinds. Equal texts are looked up once."""
+    rest = getattr(patterns, "rest", None)
+    if rest is None:
+        return docs
+    known = dict(patterns)
+
+    def run(batches):
+        for batch in batches:
+            for a, b in common.slices(batch.column(1), 8 << 20):
+                part = batch.slice(a, b - a)
+                names = sorted({(key, p) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for _, _, value, *both in cues(text or "") if identifier(value) for p in both if p not in known})
+                columns = list(zip(*names, strict=True)) or [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[_KEY_COL, "pattern"])
+
+    keyed = docs.withColumn(_KEY_COL, F.sha2(F.col(text_col).cast("binary"), 256))
+    names = keyed.select(_KEY_COL, text_col).mapInArrow(run, f"{_KEY_COL} string, pattern string").distinct()
+    held = names.join(rest, "pattern").groupBy(_KEY_COL).agg(F.map_from_entries(F.collect_list(F.struct("pattern", "kind"))).alias(_MORE))
+    return keyed.join(held, _KEY_COL, "left").select(*docs.columns, _MORE)
+
+
+def rest_of(batch: pa.RecordBatch, has_rest: bool) -> list[dict[str, str]]:
+    """The patterns that with_rest added to each row."""
+    return [dict(m or ()) for m in batch.column(batch.num_columns - 1).to_pylist()] if has_rest else [{}] * batch.num_rows
+
+
+def all_spans(text: str, patterns: dict[str, str], more: dict[str, str] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans, and those that patterns add, or more of them; each by kind, then start."""
+    spans, added, more = base_spans(text), [], more or {}
     if patterns:
         for start, end, value, cue, shaped in cues(text):
-            kind = patterns.get(cue) or patterns.get(shaped)
+            kind = patterns.get(cue) or more.get(cue) or patterns.get(shaped) or more.get(shaped)
             if kind is None and _KEY.fullmatch(value):
                 kind = "secret"
             if kind and identifier(value) and not any(a < end and start < b for _, a, b in spans):
@@ -192,14 +228,15 @@ def extract(docs: DataFrame, patterns: dict[str, str], text_col: str = "text", k
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("base", span), T.StructField("added", span)])
     places = [docs.columns.index(c) for c in keep]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    known, has_rest = dict(patterns), getattr(patterns, "rest", None) is not None
 
     def run(batches):
         for batch in batches:
-            found = [all_spans(t or "", patterns) for t in batch.column(0).to_pylist()]
+            found = [all_spans(t or "", known, more) for t, more in zip(batch.column(0).to_pylist(), rest_of(batch, has_rest), strict=True)]
             as_rows = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found], kind) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *as_rows], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return with_rest(docs, patterns, text_col).mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -216,15 +253,16 @@ def mask(docs: DataFrame, patterns: dict[str, str], text_col: str = "text") -> D
     """docs with all spans masked in the text; a null text stays null."""
     common.ship(docs.sparkSession)
     at, names = docs.columns.index(text_col), docs.columns
+    known, has_rest = dict(patterns), getattr(patterns, "rest", None) is not None
 
     def run(batches):
         for batch in batches:
-            texts = [t and masked(t, [s for some in all_spans(t, patterns) for s in some]) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            texts = [t and masked(t, [s for some in all_spans(t, known, more) for s in some]) for t, more in zip(batch.column(at).to_pylist(), rest_of(batch, has_rest), strict=True)]
+            columns = list(batch.columns)[: len(names)]
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_rest(docs, patterns, text_col).mapInArrow(run, docs.schema)
 
 
 def op10_bootstrapped_pii(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from statuta.llm import ngram_join
+from statuta.llm import ngram_join, pii
 
 
 def test_a_long_chain_is_one_component(spark):
@@ -11,3 +11,20 @@ def test_a_long_chain_is_one_component(spark):
     ties = list(zip(ids, ids[1:], strict=False)) + [(-5, -4), (-4, -9)]
     found = {x.node: x.label for x in ngram_join.components(spark.createDataFrame(ties, "a long, b long")).collect()}
     assert found == dict.fromkeys(ids, min(ids)) | dict.fromkeys((-5, -4, -9), -9)
+
+
+def secret(i, n=40):
+    return "".join(random.Random(i).choices("0123456789abcdef", k=n))
+
+
+def test_patterns_beyond_the_broadcast_bound_are_applied(spark, monkeypatch):
+    rows = [(10 * c + i, f"x{'abcdefghijkl'[c]}={secret(10 * c + i)} end") for c in range(12) for i in range(4 + c % 3)]
+    rows += [(1000 + c, f"with x{'abcdefghijkl'[c]}=Qz7-{c}4711 there") for c in range(12)] * 2 + [(None, None), (None, "with xa=Qz7-94711 there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    outcome = lambda p: (sorted(map(str, pii.extract(df, p).collect())), sorted(map(str, pii.mask(df, p).collect())))
+    whole = outcome(pii.learn(df))
+    assert sum("SECRET" in r for r in whole[1]) == len(rows) - 1
+    monkeypatch.setattr(pii, "MOST_PATTERNS", 3)
+    few = pii.learn(df)
+    assert len(few) == 3 and few.rest.count() >= 9
+    assert outcome(few) == whole
