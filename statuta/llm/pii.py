@@ -39,8 +39,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_CUE = re.compile(r"(?<![A-Za-z_])([A-Za-z_][A-Za-z_-]{0,30})([\x20]?[=:#]{1,3}[\x20]?[\"'(]?)([^\s\"',;()]{4,256})")
-_KEY = re.compile(r"[0-9a-f]{32,128}")
+_CUE = re.compile(r"(?<![A-Za-z_])([A-Za-z_][A-Za-z_-]{0,30})([\x20]?[=:#]{1,3}[\x20]?[\"'(]?)([^\s\"',;()]{4,}+)")
+_KEY = re.compile(r"[0-9a-f]{32,}")
+_TWO_DIGITS = re.compile(r"[0-9][^0-9]*+[0-9]")
+#: After so many characters of an instance, further cues are sought in the rest of it, and base entities there don't make it theirs.
+LONG = 256
 
 
 def luhn(digits: str) -> bool:
@@ -98,14 +101,16 @@ def shape(value: str) -> str:
 
 def identifier(value: str) -> bool:
     """Whether an instance may be an identifier: six characters or more, two of them digits."""
-    return len(value) >= 6 and sum("0" <= c <= "9" for c in value) >= 2
+    return len(value) >= 6 and _TWO_DIGITS.search(value) is not None
 
 
 def cues(text: str):
-    """Start, end, value, cue pattern and shape pattern of each instance."""
+    """Start, end, value, cue pattern and shape pattern of each instance; an instance is a whole run, however long."""
     if "=" not in text and ":" not in text and "#" not in text:
         return
-    for m in _CUE.finditer(text):
+    at = 0
+    while m := _CUE.search(text, at):
+        at = min(m.end(), m.start(3) + LONG)
         value = m[3].rstrip(".:!?")
         if value:
             sign = re.sub(r"[\x20\"'(]", "", m[2])
@@ -115,7 +120,7 @@ def cues(text: str):
 def instance_kind(value: str, start: int, end: int, spans: list[tuple[str, int, int]]) -> str | None:
     """The kind of a seed: a base entity at this place, or a long key."""
     for kind, a, b in spans:
-        if a < end and start < b:
+        if a < min(end, start + LONG) and start < b:
             return kind
     return "secret" if _KEY.fullmatch(value) else None
 
@@ -214,7 +219,7 @@ def all_spans(text: str, patterns: dict[str, str], more: dict[str, str] | None =
             kind = patterns.get(cue) or more.get(cue) or patterns.get(shaped) or more.get(shaped)
             if kind is None and _KEY.fullmatch(value):
                 kind = "secret"
-            if kind and identifier(value) and not any(a < end and start < b for _, a, b in spans):
+            if kind and identifier(value) and not any(a < min(end, start + LONG) and start < b for _, a, b in spans):
                 added.append((kind, start, end))
     return spans, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 

@@ -28,3 +28,21 @@ def test_patterns_beyond_the_broadcast_bound_are_applied(spark, monkeypatch):
     few = pii.learn(df)
     assert len(few) == 3 and few.rest.count() >= 9
     assert outcome(few) == whole
+
+
+def test_long_values_are_masked_whole(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    jwt = "".join(random.Random(1).choices(alphabet, k=700))
+    inner = f"{'a' * 300}&key={secret(99)}"
+    rows = [(i, f"so token={secret(i)} it goes, key={secret(50 + i)} on") for i in range(30)]
+    rows += [(100, f"so token={jwt} it goes"), (101, f"so token={jwt[:400]}/me@example.org. it goes"), (102, f"see link={inner} there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.mask(df, pii.learn(df)).collect()}
+    assert out[100] == "so token=[SECRET] it goes" and out[101] == "so token=[SECRET]. it goes"
+    assert secret(99) not in out[102]
+
+
+def test_long_values_are_told_apart(spark):
+    a = secret(1, 300)
+    df = spark.createDataFrame([(f"token={a}0",), (f"token={a}1",)], "text string")
+    assert pii.graph(df).filter("pattern = 'token=' AND kind = 'secret'").count() == 2
