@@ -174,6 +174,9 @@ def outliers(stats: DataFrame, groups: list[str], cutoff: float = CUTOFF, h: flo
     large = common.cut(sizes.filter(F.col("size") >= least).select(number.alias("grp")))
     rows = stats.withColumn("key", number).join(common.small(large), F.col("key") == F.col("grp"), "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))).drop("key")
     taught = rows.filter("judged").select("grp", *DIMENSIONS)
+    if sizes.filter(F.col("size") < least).limit(1).count():
+        # rows of small groups are judged by number 0, which all rows teach
+        taught = taught.filter("grp <> 0").union(taught.withColumn("grp", F.lit(0).cast("long")))
     # the start: medians, and deviations from them on the diagonal
     middle = common.cut(taught.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mean")))
     apart = taught.join(common.small(middle), "grp").select("grp", "mean", *(F.abs(F.col(x) - F.col("mean")[i]).alias(x) for i, x in enumerate(DIMENSIONS)))

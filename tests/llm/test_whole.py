@@ -2,7 +2,9 @@
 
 import random
 
-from statuta.llm import ngram_join, pii
+from pyspark.sql import functions as F
+
+from statuta.llm import ngram_join, pii, quality
 
 
 def test_a_long_chain_is_one_component(spark):
@@ -46,3 +48,13 @@ def test_long_values_are_told_apart(spark):
     a = secret(1, 300)
     df = spark.createDataFrame([(f"token={a}0",), (f"token={a}1",)], "text string")
     assert pii.graph(df).filter("pattern = 'token=' AND kind = 'secret'").count() == 2
+
+
+def test_rows_of_small_groups_are_judged_by_all(spark):
+    r = random.Random(2)
+    good = [("en", "hot", True, *(0.3 + 0.02 * r.gauss(0, 1) for _ in quality.DIMENSIONS)) for _ in range(600)]
+    rows = [*good, ("xx", None, True, *[3.0] * len(quality.DIMENSIONS)), ("yy", "rare", True, *good[0][3:])]
+    names = ["lang", "source", "judged", *quality.DIMENSIONS]
+    out = quality.outliers(spark.createDataFrame(rows, names), ["lang", "source"])
+    assert out.filter("lang = 'xx' AND outlier").count() == 1 and out.filter("lang = 'yy' AND NOT outlier").count() == 1
+    assert out.filter(F.col("lang") == "en").filter("outlier").count() < 30
