@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statuta.catalog import query
 from statuta.functions import python as P
 from statuta.functions import text as T
+from statuta.llm.common import small
 from statuta.operators import detectors as D
 from statuta.operators import relations as R
 from statuta.session import ship
@@ -303,14 +304,22 @@ def source_key_collision(spark, sf_dir):
 
 @query("verbatim_quotes", "SELECT item_id, doc_id, CAST(strpos(d.text, b.text) AS BIGINT) AS place FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def verbatim_quotes(spark, sf_dir):
-    """Passages that documents contain. Passages and documents meet on a word pair's hash, not all with all."""
+    """Passages that documents contain. Passages and documents meet on a word pair's hash, not all with all.
+
+    Passages of fewer than four words have no pair of inner words: they are sought in all documents, as a broadcast if
+    they are few enough.
+    """
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 1)), lambda i: F.xxhash64(F.slice(x, i, 2)))
     words = lambda x: F.regexp_extract_all(x, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), words("text").alias("w")).filter("size(w) >= 4")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), words("text").alias("w")).filter("quote IS NOT NULL")
+    short = quotes.filter("size(w) < 4").select("item_id", "quote")
+    quotes = quotes.filter("size(w) >= 4")
     # inner words only: a passage may begin and end within a word of the document
     quotes = quotes.select("item_id", "quote", F.element_at(pairs(F.slice("w", 2, 2)), 1).alias("pair"))
     held = docs(spark, sf_dir).select("doc_id", "text", words("text").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(pairs(F.col("w")))).alias("pair"))
-    return held.join(quotes, "pair").filter(F.contains("text", "quote")).select("item_id", "doc_id", F.position("quote", "text").cast("long").alias("place")).distinct()
+    met = held.join(quotes, "pair").filter(F.contains("text", "quote")).select("item_id", "doc_id", "text", "quote")
+    met = met.union(docs(spark, sf_dir).join(small(short), F.contains("text", "quote")).select("item_id", "doc_id", "text", "quote"))
+    return met.select("item_id", "doc_id", F.position("quote", "text").cast("long").alias("place")).distinct()
 
 
 INVARIANTS = {

@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from statuta.llm import ngram_join, pii, quality
 
 
@@ -58,3 +60,16 @@ def test_rows_of_small_groups_are_judged_by_all(spark):
     out = quality.outliers(spark.createDataFrame(rows, names), ["lang", "source"])
     assert out.filter("lang = 'xx' AND outlier").count() == 1 and out.filter("lang = 'yy' AND NOT outlier").count() == 1
     assert out.filter(F.col("lang") == "en").filter("outlier").count() < 30
+
+
+def test_short_passages_are_quoted(spark, tmp_path):
+    passages = ["", " ", "fox", "own fo", "the quick brown", "quick brown fox jumps", "absent", None, "Straße", "ick brown fox jumps ov", "50%_x"]
+    texts = ["the quick brown fox jumps over", "fox fox", "", None, "in der Straße 50%_x"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted(map(tuple, __spark_entry__.queries()["verbatim_quotes"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert out == sorted(con.sql(__spark_entry__.oracle_sql()["verbatim_quotes"]).fetchall())
+    assert {i for i, _, _ in out} == {0, 1, 2, 3, 4, 5, 8, 9, 10}
