@@ -69,9 +69,20 @@ def sections_by_page(spark, sf_dir):
     WITH i AS (SELECT o_orderkey, o_custkey * 10 AS lo, o_custkey * 10 + 25 AS hi FROM orders WHERE o_orderkey % 20 = 0)
     SELECT event_id, min(o_orderkey) AS leaf FROM events LEFT JOIN i ON user_id BETWEEN lo AND hi GROUP BY event_id""")
 def ocr_point_in_interval(spark, sf_dir):
-    leaves = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select("o_orderkey", (F.col("o_custkey") * 10).alias("lo"), (F.col("o_custkey") * 10 + 25).alias("hi"))
-    points = table(spark, sf_dir, "events").select("event_id", "user_id")
-    hit = R.point_in_interval(points, leaves, "event_id", "user_id", "lo", "hi", ["o_orderkey"], 32)
+    return leaf_of_events(table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0"))
+
+
+@query("ocr_point_in_interval_all", """
+    WITH i AS (SELECT o_orderkey, o_custkey * 10 AS lo, o_custkey * 10 + 25 AS hi FROM orders)
+    SELECT event_id, min(o_orderkey) AS leaf FROM events LEFT JOIN i ON user_id BETWEEN lo AND hi GROUP BY event_id""")
+def ocr_point_in_interval_all(spark, sf_dir):
+    """ocr_point_in_interval with all leaves."""
+    return leaf_of_events(table(spark, sf_dir, "events"), table(spark, sf_dir, "orders"))
+
+
+def leaf_of_events(events, orders):
+    leaves = orders.select("o_orderkey", (F.col("o_custkey") * 10).alias("lo"), (F.col("o_custkey") * 10 + 25).alias("hi"))
+    hit = R.point_in_interval(events.select("event_id", "user_id"), leaves, "event_id", "user_id", "lo", "hi", ["o_orderkey"], 32)
     return hit.select("event_id", F.col("hit.o_orderkey").alias("leaf"))
 
 
@@ -175,8 +186,21 @@ def ocr_fidelity(spark, sf_dir):
     SELECT page, r.o_orderkey AS leaf, count(*) AS notes FROM r JOIN note USING (page) WHERE k = 1 GROUP BY ALL""")
 def orphan_adoption(spark, sf_dir):
     """Notes go to the first leaf, by start, then end, that covers their page."""
-    leaf = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi"))
-    notes = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_suppkey") % 100).alias("page")).groupBy("page").agg(F.count("*").alias("notes"))
+    return adopted(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
+
+
+@query("orphan_adoption_all", """
+    WITH leaf AS (SELECT o_orderkey, o_custkey AS lo, o_custkey + 3 AS hi FROM orders), note AS (SELECT l_suppkey % 100 AS page, count(*) AS notes FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+    r AS (SELECT page, notes, o_orderkey, row_number() OVER (PARTITION BY page ORDER BY lo, hi, o_orderkey) AS k FROM note JOIN leaf ON page BETWEEN lo AND hi)
+    SELECT page, o_orderkey AS leaf, notes FROM r WHERE k = 1""")
+def orphan_adoption_all(spark, sf_dir):
+    """orphan_adoption with all leaves."""
+    return adopted(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def adopted(lineitem, orders):
+    leaf = orders.select("o_orderkey", F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi"))
+    notes = lineitem.filter("l_returnflag = 'R'").select((F.col("l_suppkey") % 100).alias("page")).groupBy("page").agg(F.count("*").alias("notes"))
     hit = R.point_in_interval(notes, leaf, "notes", "page", "lo", "hi", ["lo", "hi", "o_orderkey"], 8)
     return hit.filter("hit.o_orderkey IS NOT NULL").select("page", F.col("hit.o_orderkey").alias("leaf"), "notes")
 

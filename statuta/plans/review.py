@@ -194,5 +194,16 @@ def retry_backoff(spark, sf_dir):
 def bulk_triage_conflicts(spark, sf_dir):
     """Requests that expect triage new, held against the current state."""
     rows = findings(spark, sf_dir)
-    requests = rows.filter("finding_id % 11 = 0").select("finding_id", F.lit("new").alias("expected"))
+    return conflicts(rows.filter("finding_id % 11 = 0"), rows)
+
+
+@query("bulk_triage_conflicts_all", f"SELECT finding_id, triage AS current_triage, triage <> 'new' AS conflict FROM {FINDINGS}")
+def bulk_triage_conflicts_all(spark, sf_dir):
+    """bulk_triage_conflicts with a request for each finding."""
+    rows = findings(spark, sf_dir)
+    return conflicts(rows, rows)
+
+
+def conflicts(asked, rows):
+    requests = asked.select("finding_id", F.lit("new").alias("expected"))
     return requests.join(rows.select("finding_id", "triage"), "finding_id").select("finding_id", F.col("triage").alias("current_triage"), (F.col("triage") != F.col("expected")).alias("conflict"))

@@ -77,7 +77,7 @@ def discover_structure(spark, sf_dir):
     ship(spark)
     at = F.col("at")
     number = (F.when(at % 9 == 4, at + 90).otherwise(at) + 1).cast("string")
-    text = F.when(at % 20 == 7, F.concat(F.lit("PART "), F.element_at(F.array(*map(F.lit, ("I", "II", "III"))), (at % 3 + 1).cast("int")))).otherwise(F.concat(number, F.lit(". "), F.substring("line", 1, 60), F.lit(".— text")))
+    text = F.when(at % 20 == 7, F.concat(F.lit("PART "), F.element_at(F.array(*map(F.lit, ("I", "II", "III"))), (at % 3 + 1).cast("int")))).otherwise(F.concat(number, F.lit(". "), F.col("line"), F.lit(".— text")))
     return S.discover(document_lines(spark, sf_dir).select(F.concat_ws("/", "source", "doc_id").alias("document"), at.cast("long").alias("at"), text.alias("text")))
 
 

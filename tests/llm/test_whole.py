@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from statuta.llm import ngram_join, pii, quality
+from tests.conftest import SF
 
 
 def test_a_long_chain_is_one_component(spark):
@@ -73,3 +74,8 @@ def test_short_passages_are_quoted(spark, tmp_path):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert out == sorted(con.sql(__spark_entry__.oracle_sql()["verbatim_quotes"]).fetchall())
     assert {i for i, _, _ in out} == {0, 1, 2, 3, 4, 5, 8, 9, 10}
+
+
+def test_headings_are_whole(spark):
+    found = __spark_entry__.queries()["discover_structure"](spark, SF)
+    assert max(len(str(v)) for r in found.collect() for v in r) > 100
