@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from statuta.catalog import query
 from statuta.functions import python as P
 from statuta.functions import text as T
-from statuta.llm.common import small
 from statuta.operators import detectors as D
 from statuta.operators import relations as R
+from statuta.operators.joins import small
 from statuta.session import ship
 from statuta.sources.tables import html_leaves, leaves, table
 
