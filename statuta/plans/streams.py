@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from statuta.catalog import query
+from statuta.session import shared_dir
 from statuta.streaming import findings as S
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{given or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_tumbling", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
-    found = S.run_to_end(S.tumbling(S.event_stream(spark, sf_dir)), "complete", _checkpoint(spark))
+    found = S.totals_to_end(S.tumbling(S.event_stream(spark, sf_dir)), _folder(spark))
     return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_deduplicated", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_deduplicated(spark, sf_dir):
-    found = S.run_to_end(S.without_duplicates(S.event_stream(spark, sf_dir)).select("event_id", "event_type"), "append", _checkpoint(spark))
+    found = S.run_to_end(S.without_duplicates(S.event_stream(spark, sf_dir)).select("event_id", "event_type"), _folder(spark))
     return found.groupBy("event_type").agg(F.count("*").alias("n"))

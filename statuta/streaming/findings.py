@@ -5,7 +5,6 @@ Each takes a streaming DataFrame and gives one, or runs a query to its end over
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,12 +53,26 @@ def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, n long, limited boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(rows: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """The result over all that there is now, as a table in memory: for tests and small results."""
-    name = f"s{uuid.uuid4().hex}"
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(rows: DataFrame, folder: str) -> DataFrame:
+    """The rows that a stream appends over all that there is now, written to folder/rows."""
+    q = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rows.sparkSession.table(name)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+def totals_to_end(rows: DataFrame, folder: str) -> DataFrame:
+    """The totals that a stream of aggregates has over all that there is now: each batch's complete totals replace the ones before, by a folder of the batch."""
+    seen = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        seen.append(number)
+
+    q = rows.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not seen:
+        return rows.sparkSession.createDataFrame([], rows.schema)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows/{max(seen)}")
 
 
 def write_batches(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -150,7 +150,7 @@ def test_files(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    limited = S.run_to_end(S.rate_limited(S.event_stream(spark, SF), 2, 3600), "append", str(tmp_path / "c"))
+    limited = S.run_to_end(S.rate_limited(S.event_stream(spark, SF), 2, 3600), str(tmp_path / "c"))
     n = spark.read.parquet(f"{SF}/events.parquet").count()
     assert limited.count() == n
     seen = []
