@@ -1,4 +1,8 @@
-"""A training corpus from the documents table: each stage calls one operator and works on what the one before kept."""
+"""A training corpus from the documents table: each stage calls one operator and works on what the one before kept.
+
+All stages take empty tables, nulls in any column, texts of any length, and further columns of any name that
+don't begin with two underscores; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID; documents without a language go, the others get the predicted one."""
+    """Language ID; documents without a language go, the others get the predicted one.
+
+    A null text, or one without letters, has no language. Null ids and repeated rows are judged like others;
+    ties between languages go by name.
+    """
     samples = langid.draw_samples(docs, F.lit(True))
     found = langid.predict(docs, samples, names=("__lang", "__lang_score"))
     kept = found.filter(F.col("__lang") != "und")
@@ -19,7 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join; of each class the document with the least id stays, once."""
+    """N-gram Jaccard join; of each class the document with the least id stays, once.
+
+    Texts of five words or more are alike from a similarity of 0.8 of their shingles on; shorter ones are alike if all
+    their words are. Null texts and texts without words are alike to nothing and stay, all of them. Nulls come last
+    among ids; of rows with equal ids and texts one stays.
+    """
     decided = ngram_join.join(docs.select("doc_id", "text")).select("doc_id", "text_hash", "keeper")
     rows = common.cut(decided.groupBy("doc_id", "text_hash").agg(F.first("keeper").alias("keeper"), F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "keeper", "n"))
     hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
@@ -32,14 +45,22 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked in the texts."""
+    """Personal data masked in the texts; n_chars is counted anew.
+
+    A null text stays null, with a null n_chars. All rows stay, repeated ones and null ids too; equal texts are masked alike.
+    """
     clean = pii.mask(docs, pii.learn(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document as many times as the mix takes it."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # a stage's input is read from files or a checkpoint, so rows keep their numbers
+    """Sources at their target weights: each document as many times as the mix takes it.
+
+    Texts without words are taken 0 times and so go, null ones too; a null source is a source of its own. Rows
+    with equal ids and texts are drawn each. docs must be a table or a checkpoint, as a stage's input is, so that rows
+    keep their numbers.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     taken = mixing.mix(rows, common.word_count(F.col("text")), "__row", draw=F.xxhash64("doc_id", "text"))
     taken = taken.filter("copies > 0").select(F.col("doc_id").alias("__taken"), F.col("copies").alias("__copies"))
     copies = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
@@ -47,7 +68,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts packed into sequences."""
+    """Texts packed into sequences, a row for each piece of a text: the longest sequence cuts longer ones.
+
+    Null texts and texts without words are in no sequence: bin_id is null and length 0. Repeated rows are packed each.
+    """
     return packing.pack(docs, common.word_count(F.col("text")))
 
 
