@@ -8,9 +8,9 @@ Two texts are linked if the Jaccard similarity of their sets of 5-word shingles
 2. Classes are dealt by band hash. Within a bucket each class is tied to the least class, never to all
    others, and ties make candidate components (labels travel along ties until none changes).
 3. Each component of two classes or more is verified: all its pairs of similar size, on the full
-   sets, in blocks. A block pair counts overlaps by products of small incidence matrices and gives a row for
-   each of its classes, not for each pair, so a large group of near copies makes no quadratic output, and
-   its blocks spread over the cluster.
+   sets, in blocks whose members and bytes are bounded. A block pair counts overlaps, by products of small
+   incidence matrices where many texts share a hash, and gives a row for each of its classes, not for each
+   pair, so a large group of near copies makes no quadratic output, and its blocks spread over the cluster.
 4. Verified links give each class its number of linked texts, and components again: the class id is
    the least id in it.
 
@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,8 @@ from statuta.llm import common, tokens
 
 WORDS, THRESHOLD, RECALL = 5, (4, 5), 0.997
 MOST_HASHES = 256
-BLOCK = 256
+#: Members of a block; how many blocks a size class has before they grow, and up to which size; shingles of a block.
+BLOCK, BLOCKS, LARGEST_BLOCK, BLOCK_SHINGLES = 256, 24, 2_048, 1 << 20
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -123,50 +123,80 @@ def components(ties: DataFrame) -> DataFrame:
             return labels
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all intersections of two lists of sorted distinct arrays."""
-    every = np.concatenate([*left, *right])
-    values, code = np.unique(every, return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left] + [len(s) for s in right])
-    # a hash that one side lacks can't be shared
-    split = sum(len(s) for s in left)
-    shared = np.zeros(len(values), bool)
-    shared[code[:split]] = True
-    on_right = np.zeros(len(values), bool)
-    on_right[code[split:]] = True
-    shared &= on_right
-    number = np.cumsum(shared) - 1
-    keep = shared[code]
-    row, code = row[keep], number[code[keep]]
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    out = np.zeros((len(left), len(right)))
-    for at in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(code, [at, at + width])
-        held = np.zeros((len(left) + len(right), width), np.float32)
-        held[row[a:b], code[a:b] - at] = 1
-        out += held[: len(left)] @ held[len(left) :].T
-    return out.astype(np.int64)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096, most: int = 1 << 21) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted distinct arrays.
+
+    Hashes that many texts hold are counted by products of incidence matrices, `width` at a time; the pairs
+    that hold a rarer one are listed, at most about `most` at a time.
+    """
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), np.float32)
+    sizes = [len(s) for s in left], [len(s) for s in right]
+    values, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    a, b = code[: sum(sizes[0])], code[sum(sizes[0]) :]
+    held = np.bincount(a, minlength=len(values)), np.bincount(b, minlength=len(values))
+    pairs = held[0] * held[1]
+    common_ones = pairs > n * m // 200
+    rows = np.repeat(np.arange(n), sizes[0]), np.repeat(np.arange(m), sizes[1])
+
+    number = np.cumsum(common_ones) - 1
+    sides = []
+    for row, c in zip(rows, (a, b), strict=True):
+        keep = common_ones[c]
+        row, c = row[keep], number[c[keep]]
+        order = np.argsort(c, kind="stable")
+        sides.append((row[order], c[order]))
+    for at in range(0, int(common_ones.sum()), width):
+        two = []
+        for (row, c), k in zip(sides, (n, m), strict=True):
+            i, j = np.searchsorted(c, [at, at + width])
+            one = np.zeros((k, width), np.float32)
+            one[row[i:j], c[i:j] - at] = 1
+            two.append(one)
+        out += two[0] @ two[1].T
+
+    rare = ~common_ones & (pairs > 0)
+    if rare.any():
+        order = np.argsort(b, kind="stable")
+        place, right_rows = np.concatenate([[0], np.cumsum(held[1])]), rows[1][order]
+        keep = rare[a]
+        left_rows, c = rows[0][keep], a[keep]
+        times = held[1][c]
+        ends = np.cumsum(times)
+        start = 0
+        while start < len(c):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            t = times[start:stop]
+            within = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+            met = np.repeat(left_rows[start:stop], t) * m + right_rows[np.repeat(place[c[start:stop]], t) + within]
+            out += np.bincount(met, minlength=n * m).reshape(n, m)
+            start = stop
+    return out.astype(np.int32)
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Which pairs reach the threshold."""
     both = overlaps(left, right)
-    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - both
+    union = np.array([len(s) for s in left], np.int32)[:, None] + np.array([len(s) for s in right], np.int32)[None, :] - both
     return THRESHOLD[1] * both >= THRESHOLD[0] * union
 
 
 def placed_in_blocks(members: DataFrame) -> DataFrame:
     """Each member once for each block pair that it takes part in: the pair (size class and block of both sides), and whether it is on the first, the second or both sides.
 
-    A component of at most BLOCK members is one block. In a larger one, size classes grow by the inverse of
-    the threshold, so that linked sets are in equal or adjacent ones; each is cut by hash into blocks of
-    about BLOCK. Only cells of large components are joined, so that a large component is no hot key.
+    A component of at most BLOCK members and BLOCK_SHINGLES shingles is one block. In a larger one, size
+    classes grow by the inverse of the threshold, so that linked sets are in equal or adjacent ones; each is
+    cut by hash into blocks, of which none is expected to hold more than BLOCK_SHINGLES. Blocks have BLOCK
+    members; where a class has more than BLOCKS times as many they grow with it, up to LARGEST_BLOCK, so that
+    a set is sent to a few dozen tasks and not to thousands. Only cells of large components are joined, so
+    that a large component is no hot key.
     """
     grown = THRESHOLD[1] / THRESHOLD[0]
     members = members.withColumn("cls", F.floor(F.log("size") / F.lit(math.log(grown))).cast("int"))
-    large = members.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("comp")
-    cells = members.groupBy("comp", "cls").agg(F.count("*").alias("n")).join(large, "comp", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    large = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).filter((F.col("n") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("comp")
+    fits = F.greatest(F.lit(1.0), F.floor(F.lit(float(BLOCK_SHINGLES)) / F.pow(F.lit(grown), F.col("cls") + 1)))
+    per = F.least(fits, F.greatest(F.lit(float(BLOCK)), F.least(F.lit(float(LARGEST_BLOCK)), F.col("n") / BLOCKS)))
+    cells = members.groupBy("comp", "cls").agg(F.count("*").alias("n")).join(large, "comp", "left_semi").withColumn("blocks", F.ceil(F.col("n") / per).cast("int"))
     near = lambda by, name: cells.select("comp", (F.col("cls") + by).alias("cls"), F.col("blocks").alias(name))
     known = common.cut(cells.join(near(-1, "above"), ["comp", "cls"], "left").join(near(1, "below"), ["comp", "cls"], "left"))
     out = members.join(common.small(known), ["comp", "cls"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -181,47 +211,82 @@ def placed_in_blocks(members: DataFrame) -> DataFrame:
     return out.select("node", "comp", "copies", F.explode(sides).alias("pair")).select("node", "comp", "copies", "pair.*")
 
 
+def hashed_sets(texts: DataFrame) -> DataFrame:
+    """node and grams, the bytes of its sorted shingle hashes, of each row of node and text."""
+    common.ship(texts.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for a, b in common.slices(batch.column(1), 1 << 19):
+                part = batch.slice(a, b - a)
+                sets = tokens.shingle_sets(*common.utf8(part.column(1)), WORDS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, grams binary")
+
+
+def links_of(node: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, label (the least node that links of this block pair reach) and links of each linked row; rows are in the order of nodes."""
+    a, b, n = np.flatnonzero(first), np.flatnonzero(second), len(node)
+    links = np.zeros(n, np.int64)
+    root = np.arange(n)
+    if len(a) and len(b) and n > 1:
+        hit = linked([sets[k] for k in a], [sets[k] for k in b])
+        hit &= a[:, None] != b[None, :]
+        links[a] += hit @ copies[b]
+        if not (first[0] and second[0]):  # else both sides are one block: each pair is seen from both
+            links[b] += hit.T @ copies[a]
+        left, right = np.nonzero(hit)
+        left, right = a[left], b[right]
+        while True:  # rows are in order, so the least place is the least node
+            new = root.copy()
+            np.minimum.at(new, left, root[right])
+            np.minimum.at(new, right, root[left])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+    some = np.flatnonzero(links)
+    return node[some], node[root[some]], links[some]
+
+
 def verify(members: DataFrame, texts: DataFrame) -> DataFrame:
     """node, label (the least node that links of this block pair reach) and links of each linked node, a row for each block pair.
 
     members: node, comp, size, copies. texts: node, text, of members at least; repeated nodes count once.
+    Each text is hashed once; its set goes to the tasks of its block pairs, in their order, so that a Python
+    worker holds the sets of one block pair and one batch, whatever a task is dealt.
     """
-    n = max(1, math.ceil(members.count() / BLOCK))
-    dealt = placed_in_blocks(members).withColumn("task", F.pmod(F.xxhash64("comp", "c1", "b1", "c2", "b2"), F.lit(2 * n)))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = ["comp", "c1", "b1", "c2", "b2"]
-        frame = frame.drop_duplicates([*keys, "node"]).sort_values([*keys, "node"], ignore_index=True)
-        sets = tokens.shingle_sets(*common.utf8(pa.array(frame["text"].tolist(), pa.large_string())), WORDS)
-        node, copies, first, second = (frame[c].to_numpy() for c in ("node", "copies", "first", "second"))
-        group = frame[keys].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
-        out = []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
-            a, b = s + np.flatnonzero(first[s:e]), s + np.flatnonzero(second[s:e])
-            if not len(a) or not len(b) or e - s < 2:
-                continue
-            hit = linked([sets[k] for k in a], [sets[k] for k in b])
-            hit &= a[:, None] != b[None, :]
-            within = bool(first[s] and second[s])  # both sides are one block: each pair is seen from both
-            links = np.zeros(e - s, np.int64)
-            links[a - s] += hit @ copies[b]
-            if not within:
-                links[b - s] += hit.T @ copies[a]
-            root = np.arange(e - s)
-            while True:  # nodes are in order, so the least place is the least node
-                new = root.copy()
-                new[a - s] = np.minimum(new[a - s], np.where(hit, new[b - s][None, :], e - s).min(1))
-                new[b - s] = np.minimum(new[b - s], np.where(hit, new[a - s][:, None], e - s).min(0))
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            some = np.flatnonzero(links)
-            out.append(pd.DataFrame({"node": node[s + some], "label": node[s + root[some]], "links": links[some]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"node": np.zeros(0, np.int64), "label": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-
-    return dealt.join(texts, "node").groupBy("task").applyInPandas(run, "node long, label long, links long")
+    keys = ["comp", "c1", "b1", "c2", "b2"]
+    dealt = placed_in_blocks(members).join(hashed_sets(texts), "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+
+    def run(batches):
+        held, current = [], None
+
+        def settled():
+            if len(held) < 2:
+                return []
+            node, copies, first, second, sets = zip(*held, strict=True)
+            return [links_of(np.array(node), np.array(copies), np.array(first), np.array(second), list(sets))]
+
+        for batch in batches:
+            out = []
+            key = np.stack([batch.column(k).to_numpy() for k in range(5)], 1)
+            node, copies = batch.column(5).to_numpy(), batch.column(6).to_numpy()
+            first, second = batch.column(7).to_numpy(zero_copy_only=False), batch.column(8).to_numpy(zero_copy_only=False)
+            raw, at = common.utf8(batch.column(9))
+            for i, k in enumerate(map(tuple, key.tolist())):
+                if k != current:
+                    out += settled()
+                    held, current = [], k
+                if not held or held[-1][0] != node[i]:
+                    held.append((node[i], copies[i], first[i], second[i], raw[at[i] : at[i + 1]].copy().view(np.uint64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "label", "links"])
+        for last in settled():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["node", "label", "links"])
+
+    return dealt.select(*keys, "node", "copies", "first", "second", "grams").mapInArrow(run, "node long, label long, links long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
