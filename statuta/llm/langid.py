@@ -9,13 +9,14 @@ Symbols are bytes of UTF-8, letters in lower case, each run of other ASCII chara
 parsed in blocks of at most BLOCK symbols, so that all blocks of a batch walk in step over arrays; a
 border costs at most one phrase, in each language alike.
 
-The samples are bounded: of each language SAMPLE_DOCS documents by hash of their id, SAMPLE_CHARS characters
-from a place that the hash chooses. Everything else covers whole texts. Only the samples leave the
-executors and go to them again; each worker builds the automata once.
+The samples are bounded: of each language SAMPLE_DOCS documents by hash of their id and text, SAMPLE_CHARS
+characters from a place that the hash chooses; with many languages fewer of each, so that all have at most
+SAMPLE_ALL, and of more languages than MOST_LANGUAGES the most frequent. Everything else covers whole texts.
+Only the samples leave the executors and go to them again; each worker builds the automata once.
 
 Nulls: a null text, or one without letters, is `und` with score 0. Documents with a null language don't
-teach. Without any sample all is `und`. Null ids and repeated rows are judged like others. An empty table
-gives an empty result.
+teach. Without any sample all is `und`. Null and equal ids teach and are judged like others; rows with equal
+ids and texts teach once. Texts of any length are judged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from pyspark.sql import types as T
 
 from statuta.llm import common
 
-SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
-#: More languages than this are refused: their samples are held in memory.
-MOST_LANGUAGES = 500
+#: Documents of a language that teach, and characters of each; documents of all languages together, and languages.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL, MOST_LANGUAGES = 64, 400, 1_024, 500
 BLOCK = 1024
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -175,18 +175,18 @@ def identify(column: pa.Array, samples: tuple[tuple[str, bytes], ...]) -> tuple[
 
 def draw_samples(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", n_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, bytes], ...]:
     """Bounded sample text of each language, folded."""
-    able = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    able = docs.filter(teaches & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    counts = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return ()
+    n_docs = max(1, min(n_docs, SAMPLE_ALL // len(counts)))
     spread = 1 << 40
     limits = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(spread, math.ceil(spread * 4 * n_docs / n))))])
     picked = able.filter(F.pmod("h", F.lit(spread)) < F.try_element_at(limits, F.col("lang")))
     room = F.greatest(F.lit(1), F.char_length("text") - chars)
-    # the limit is twice what the hash lets pass on average
-    rows = picked.select("lang", "h", F.substring("text", (F.pmod(F.shiftright("h", 7), room) + 1).cast("int"), F.lit(chars)).alias("part")).limit(8 * n_docs * len(counts) + 1000).collect()
+    part = F.substring("text", (F.pmod(F.shiftright("h", 7), room) + 1).cast("int"), F.lit(chars))
+    # about 4 * n_docs passages of each language, whatever the number of rows
+    rows = picked.select("lang", "h", part.alias("part")).distinct().collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.part)):
         if has_letter(r.part) and r.part not in (own := texts.setdefault(r.lang, [])) and len(own) < n_docs:
