@@ -39,7 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_CUE = re.compile(r"(?<![A-Za-z_])([A-Za-z_][A-Za-z_-]{0,30})([\x20]?[=:#]{1,3}[\x20]?[\"'(]?)([^\s\"',;()]{4,}+)")
+_CUE = re.compile(r"(?<![A-Za-z_-])([A-Za-z_-]++)([\x20]?[=:#]{1,3}[\x20]?[\"'(]?)([^\s\"',;()]{4,}+)")
 _KEY = re.compile(r"[0-9a-f]{32,}")
 _TWO_DIGITS = re.compile(r"[0-9][^0-9]*+[0-9]")
 #: After so many characters of an instance, further cues are sought in the rest of it, and base entities there don't make it theirs.
@@ -105,24 +105,37 @@ def identifier(value: str) -> bool:
 
 
 def cues(text: str):
-    """Start, end, value, cue pattern and shape pattern of each instance; an instance is a whole run, however long."""
+    """Start, end, value, cue pattern and shape pattern of each instance; a cue's word and an instance are whole runs, however long."""
     if "=" not in text and ":" not in text and "#" not in text:
         return
     at = 0
     while m := _CUE.search(text, at):
         at = min(m.end(), m.start(3) + LONG)
-        value = m[3].rstrip(".:!?")
-        if value:
+        value, word = m[3].rstrip(".:!?"), m[1].lstrip("-").lower()
+        if value and word:
             sign = re.sub(r"[\x20\"'(]", "", m[2])
-            yield m.start(3), m.start(3) + len(value), value, f"{m[1].lower()}{sign}", f"{sign}|{shape(value)}"
+            word = word if len(word) <= 64 else hashlib.blake2b(word.encode(), digest_size=12).hexdigest()
+            yield m.start(3), m.start(3) + len(value), value, f"{word}{sign}", f"{sign}|{shape(value)}"
 
 
-def instance_kind(value: str, start: int, end: int, spans: list[tuple[str, int, int]]) -> str | None:
-    """The kind of a seed: a base entity at this place, or a long key."""
-    for kind, a, b in spans:
-        if a < min(end, start + LONG) and start < b:
-            return kind
-    return "secret" if _KEY.fullmatch(value) else None
+class Met:
+    """Which base entities lie in ranges that are asked for in the order of their starts; linear over both."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.own = [(kind, [s[1:] for s in spans if s[0] == kind]) for kind in BASE]
+        self.at = [0] * len(BASE)
+
+    def kind(self, start: int, end: int) -> str | None:
+        """The first kind of an entity that the range meets; of a long range only its first LONG characters count."""
+        end = min(end, start + LONG)
+        for i, (kind, own) in enumerate(self.own):
+            at = self.at[i]
+            while at < len(own) and own[at][1] <= start:
+                at += 1
+            self.at[i] = at
+            if at < len(own) and own[at][0] < end:
+                return kind
+        return None
 
 
 def graph(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -136,10 +149,10 @@ def graph(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 for text in batch.column(0).slice(a, b - a).to_pylist():
                     if not text:
                         continue
-                    spans = None
+                    met = None
                     for start, end, value, cue, shaped in cues(text):
-                        spans = base_spans(text) if spans is None else spans
-                        kind = instance_kind(value, start, end, spans)
+                        met = Met(base_spans(text)) if met is None else met
+                        kind = met.kind(start, end) or ("secret" if _KEY.fullmatch(value) else None)
                         name = hashlib.blake2b(value.encode(), digest_size=12).hexdigest()
                         edges.add((cue, name, kind, identifier(value)))
                         edges.add((shaped, name, kind, identifier(value)))
@@ -215,11 +228,10 @@ def all_spans(text: str, patterns: dict[str, str], more: dict[str, str] | None =
     """Base spans, and those that patterns add, or more of them; each by kind, then start."""
     spans, added, more = base_spans(text), [], more or {}
     if patterns:
+        met = Met(spans)
         for start, end, value, cue, shaped in cues(text):
             kind = patterns.get(cue) or more.get(cue) or patterns.get(shaped) or more.get(shaped)
-            if kind is None and _KEY.fullmatch(value):
-                kind = "secret"
-            if kind and identifier(value) and not any(a < min(end, start + LONG) and start < b for _, a, b in spans):
+            if kind and identifier(value) and not met.kind(start, end):
                 added.append((kind, start, end))
     return spans, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
