@@ -66,30 +66,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str], text_col: str = "text") -> DataFrame:
+def _order_key(id_col: str, text_col: str) -> Column:
+    """A string that sorts rows by falling id, null ids last, equal ids by a hash of the text."""
+    number = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    falling = number(F.col(id_col).cast("long").bitwiseXOR(F.lit(9223372036854775807)))
+    return F.concat(F.coalesce(falling, F.lit("g")), number(F.xxhash64(text_col)))
+
+
+def _ranges(keys: DataFrame, buckets: int) -> tuple[list[str], int]:
+    """The last key of each of so many ranges of about equal rows, by Spark's sample of keys, and the rows of the largest."""
+    ranged = keys.repartitionByRange(buckets, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("last"), F.count("*").alias("n"))
+    found = ranged.select("last", "n").collect()  # at most MOST_BUCKETS
+    return sorted(r["last"] for r in found), max((r["n"] for r in found), default=0)
+
+
+def _bucket(key: str, bounds: list[str]) -> Column:
+    """How many of the bounds, of which the last is left out, are below a key; by halving."""
+    if len(bounds) < 2:
+        return F.lit(0)
+    table, middle = f"split('{','.join(bounds[:-1])}', ',')", "CAST((r.a + r.b) div 2 AS INT)"  # the table is folded to a literal
+    return F.expr(f"""aggregate(sequence(1, {len(bounds).bit_length()}), named_struct('a', 0, 'b', {len(bounds) - 1}), (r, i) ->
+        CASE WHEN r.a >= r.b THEN r WHEN {table}[{middle}] < {key} THEN named_struct('a', {middle} + 1, 'b', r.b) ELSE named_struct('a', r.a, 'b', {middle}) END, r -> r.a)""")
+
+
+def with_next(docs: DataFrame, id_col: str, carried: list[str], text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """docs with next_<column> for each carried one, of the next row by falling id, the last row's of the first.
 
-    Ids fall into buckets by equal ranges, and each bucket is one window, so that there is no global sort;
-    the top row of each bucket also goes to the bucket above as a guest. Their ids are found by an
-    aggregation; there are at most MOST_BUCKETS of them. Columns of docs with the names of new ones are replaced.
+    Rows fall into ranges of the order that hold about equally many, whatever the ids, and each range is one
+    window, so that there is no global sort; the first row of each range also goes to the range before as a
+    guest. Where rows with equal ids and texts crowd a range, a number of the row is added to the order:
+    such rows are alike, so it decides nothing but their range (docs must then be a table or a checkpoint, so that
+    rows keep their numbers). Bounds and first rows are collected, at most MOST_BUCKETS. Columns of docs with the
+    names of new ones are replaced.
     """
-    docs = docs.drop(*(f"next_{c}" for c in carried), "__bucket", "__place", "__has")
-    n, low, high = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
+    docs = docs.drop(*(f"next_{c}" for c in carried), "__key", "__bucket", "__place", "__at", "__top", "__to")
+    key, number = _order_key(id_col, text_col), F.lpad(F.hex(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32))), 8, "0")
+    keys = common.cut(docs.select(key.alias("key"), number.alias("number")))
+    n = keys.count()
     if not n:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    buckets = min(MOST_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets)) if low is not None else 1
-    bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(int(low or 0))) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    tops = docs.select(bucket.alias("bucket"), F.col(id_col).alias("id")).groupBy("bucket").agg(F.max("id").alias("top")).orderBy(F.desc("bucket")).collect()
-    guests = [(tops[i].bucket, (tops[i - 1].bucket)) for i in range(len(tops))]  # the first bucket's top goes to the last
-    edges = docs.sparkSession.createDataFrame([(b, tops[i].top, to) for i, (b, to) in enumerate(guests)], "__at long, __top long, __to long")
-    rows = docs.withColumn("__bucket", bucket).alias("d")
-    hit = (F.col("__bucket") == F.col("__at")) & F.col(id_col).cast("long").eqNullSafe(F.col("__top"))
-    rows = rows.join(F.broadcast(edges), hit, "left")
-    own = F.struct(F.col("__bucket").alias("at"), F.lit(0).alias("guest"))
-    rows = rows.withColumn("__place", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("__to").alias("at"), F.lit(1).alias("guest"))))))
-    order = Window.partitionBy("__place.at").orderBy(F.col("__place.guest"), F.col(id_col).desc_nulls_last(), F.xxhash64(text_col))
-    rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried), F.lead(F.lit(1)).over(order).alias("__has"))
+    buckets = min(MOST_BUCKETS, math.ceil(n / rows_per_bucket))
+    bounds, largest = _ranges(keys, buckets)
+    if largest > 4 * max(rows_per_bucket, n / buckets):
+        key, keys = F.concat(key, number), keys.select(F.concat("key", "number").alias("key"))
+        bounds, _ = _ranges(keys, buckets)
+    tops = keys.groupBy(_bucket("key", bounds).alias("bucket")).agg(F.min("key").alias("top")).orderBy("bucket").collect()
+    rows = docs.withColumn("__key", key).withColumn("__bucket", _bucket("__key", bounds))
+    # the first of a range goes to the range before, that of the first range to the last
+    edges = docs.sparkSession.createDataFrame([(t.bucket, t.top, tops[i - 1].bucket) for i, t in enumerate(tops)], "__at int, __top string, __to int")
+    rows = rows.join(F.broadcast(edges), (F.col("__bucket") == F.col("__at")) & (F.col("__key") == F.col("__top")), "left")
+    place = lambda at, guest: F.struct(F.col(at).alias("at"), F.lit(guest).alias("guest"))
+    rows = rows.withColumn("__place", F.explode(F.when(F.col("__to").isNull(), F.array(place("__bucket", 0))).otherwise(F.array(place("__bucket", 0), place("__to", 1)))))
+    order = Window.partitionBy("__place.at").orderBy("__place.guest", "__key")
+    rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried))
     return rows.filter("__place.guest = 0").select(*docs.columns, *(f"next_{c}" for c in carried))
 
 
