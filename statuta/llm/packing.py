@@ -1,9 +1,10 @@
 """Best-fit packing (operator 1).
 
 Texts go whole into training sequences of several permitted lengths. A text longer than the longest
-length is cut into pieces of that length and a rest. Items are dealt by a hash of their id to shards of
-about ITEMS_PER_SHARD, so that no task's work grows with the corpus and no key can make a shard hot;
-only ids and lengths are shuffled. Within a shard, from the longest item down, each goes to the open bin
+length is cut into pieces of that length and a rest. Items are dealt by a hash of their id and row to shards
+of about ITEMS_PER_SHARD, so that no task's work grows with the corpus and no key, not even an id that a
+third of all rows have, can make a shard hot; only ids and lengths are shuffled, and they are written once
+before, so that a task that runs again deals alike. Within a shard, from the longest item down, each goes to the open bin
 with the least room that holds it (best fit). If none does, a bin is opened: of the permitted lengths
 that hold the item, the one with the least cost for each word that it can still be filled with. That joint
 choice is compared with always opening one length; the cheapest of these packings is kept. At last each
@@ -11,8 +12,8 @@ bin shrinks to the least permitted length that holds its contents.
 
 A sequence of length c costs c + c * c / attention + overhead.
 
-Nulls and empty texts: length 0, in no bin (bin_id null, bin_size 0). Null ids are dealt by row. Ties go
-by id, then by row. Repeated rows are packed each. An empty table gives an empty result.
+Nulls and empty texts: length 0, in no bin (bin_id null, bin_size 0). Null ids are dealt like others. Ties
+go by id, then by row. Repeated rows are packed each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,9 +87,9 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", sizes: tuple[i
     sizes = tuple(sorted(set(sizes)))
     top = sizes[-1]
     common.ship(docs.sparkSession)
-    shards = max(1, math.ceil(docs.count() / items_per_shard))
-    own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    items = docs.select(F.pmod(F.xxhash64(F.col(id_col), own), F.lit(shards)).alias("shard"), F.col(id_col).alias("item"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
+    items = common.cut(docs.select(F.col(id_col).alias("item"), F.coalesce(length, F.lit(0)).cast("long").alias("n"), F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("deal")))
+    shards = max(1, math.ceil(items.count() / items_per_shard))
+    items = items.select(F.pmod("deal", F.lit(shards)).alias("shard"), "item", "n")
 
     def pack_shard(shard: pa.Table) -> pa.Table:
         base = shard["shard"][0].as_py() << 31
