@@ -11,11 +11,13 @@ one last document, which goes to the nearer whole number.
 The pairing is a reduction tree: within a source, documents are dealt by hash to chunks of about CHUNK,
 each chunk is folded by one aggregate() and leaves at most one fractional document, and those meet in the
 next level's chunks. No task holds more than a few chunks, whatever the size of a source. Draws are hashes
-of the seed and both ids, so a rerun takes the same.
+of the seed and both ids, so a rerun takes the same. Rows of an id that more than CHUNK rows have are
+dealt by row as well. Running totals over sources are taken in ranges of SOURCES, so that no task holds all
+sources either.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order. Texts without words
-are taken 0 times. Null ids are dealt by their text's hash. Rows with equal ids and texts meet in the same
-chunk and are rounded each. An empty table gives an empty result.
+are taken 0 times. Null ids are dealt by their text's hash. Repeated rows are rounded each. Long texts only
+count by their words. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,30 +29,44 @@ from pyspark.sql import functions as F
 
 from statuta.llm import common
 
-CHUNK = 128
+CHUNK, SOURCES = 128, 100_000
 #: Words of all texts that the mix holds, and copies of a source's words at most.
 SHARE, MOST = 1.5, 2.0
 WEIGHTS = (3, 1, 2)
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], per_part: int = SOURCES) -> DataFrame:
+    """df with sums over all rows before each one in a total order, by name. Rows fall into ranges of about per_part; their totals are collected."""
+    parts = max(1, math.ceil(df.count() / per_part))
+    placed = common.cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy("__part").agg(*(F.sum(c).cast("double").alias(n) for n, c in sums.items())).orderBy("__part").collect()
+    before, at = [], dict.fromkeys(sums, 0.0)
+    for r in totals:
+        before.append((r["__part"], dict(at)))
+        at = {n: v + r[n] for n, v in at.items()}
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda n: F.try_element_at(F.create_map(*[F.lit(x) for k, v in before for x in (k, v[n])]), F.col("__part")) if before else F.lit(0.0)
+    return placed.select("*", *((F.coalesce(F.sum(c).over(w), F.lit(0)) + start(n)).alias(n) for n, c in sums.items())).drop("__part")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, per_part: int = SOURCES) -> DataFrame:
     """source, source_size, target and rows of each source; sizes has source and size.
 
     A source is full if at the level where it becomes so the sum of all targets is within the mix; that
     sum is read off running totals in the order of cap / weight.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    by = by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    by = by.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share))).withColumn("all_weight", F.sum("weight").over(every))
-    by = by.withColumn("caps", F.sum("cap").over(rising)).withColumn("rest_weight", F.col("all_weight") - F.sum("weight").over(rising))
-    by = by.withColumn("full", F.col("caps") + F.col("cap") / F.col("weight") * F.col("rest_weight") <= F.col("total"))
-    level = (F.max("total").over(every) - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every)) / F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(every)
-    level = F.when(F.sum(F.when(F.col("full"), 0).otherwise(1)).over(every) > 0, level)
-    return by.withColumn("level", level).select("source", "source_size", "n_docs", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+    by = common.cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    by = running(by, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, per_part)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    by = common.cut(by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    words, every_weight = by.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = float((words or 0) * share)
+    by = running(by, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "lighter": F.col("weight")}, per_part)
+    rest = F.lit(every_weight or 0.0) - F.col("lighter") - F.col("weight")
+    by = common.cut(by.withColumn("full", F.col("caps") + F.col("cap") + F.col("cap") / F.col("weight") * rest <= total))
+    capped, free = by.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+    level = (total - (capped or 0.0)) / free if free else 0.0
+    return by.select("source", "source_size", "n_docs", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.lit(level) * F.col("weight"))).alias("target"))
 
 
 #: One pivotal step of the fold: acc.a is the fractional document so far, x the next one.
@@ -99,6 +115,11 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     text_hash = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     drawn = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), text_hash)) if draw is None else F.xxhash64(F.lit(seed), draw)
     sizes = common.cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), drawn.alias("h")))
+    crowded = common.cut(sizes.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select(F.col("h").alias("crowd")))
+    if crowded.limit(1).count():
+        # sizes is written, so its rows keep their numbers
+        placed = sizes.withColumn("row", F.monotonically_increasing_id()).join(common.small(crowded), F.col("h") == F.col("crowd"), "left")
+        sizes = common.cut(placed.select("doc_id", "source", "size", F.when(F.col("crowd").isNull(), F.col("h")).otherwise(F.xxhash64("h", "row")).alias("h")))
     targets = common.cut(source_targets(sizes.select("source", "size"), weights, share, most))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     few = common.small(targets)
