@@ -4,20 +4,23 @@ Counts of each text, then two verdicts. The base rules reject texts of fewer tha
 texts of whose words more than half are in repeated 3-word windows. The others are judged by the minimum
 covariance determinant: for each language and source, location and scatter are estimated from that
 share H of documents whose scatter has the least determinant, found by concentration steps: from medians
-and absolute deviations, take the H documents with the least distances, estimate anew, and so on. A
-document goes if its squared Mahalanobis distance is over CUTOFF.
+and absolute deviations, take the H documents with the least distances, estimate anew, and so on, until the
+distance of the last one taken moves by less than SETTLED in each group, STEPS times at most. A document
+goes if its squared Mahalanobis distance is over CUTOFF.
 
 The vector of a text: the logarithm of its mean word length, and square roots of the share of symbols
 among characters, of repeated lines among lines, of words in repeated windows, and of its letters that are
 capital. Most clean texts have none of some of these, so their scatter may vanish; FLOOR, the spread that
-is always allowed, is added to it. Groups of fewer than LEAST documents are judged by all documents together.
+is always allowed, is added to it. A group's location and scatter are drawn towards those of all documents,
+which count as PRIOR documents of the group, so that few documents don't make a norm of their own.
 
 Steps run as aggregations over all documents that keep only sums, so that a group's size bounds no task;
 quantiles of distances are sketches with a rank error of 1 / ACCURACY. The estimates, one row for each
 group, are inverted by a function over these rows and joined back.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources make groups of their
-own. Null ids, repeated rows and ties are judged like others. An empty table gives an empty result.
+own. Null ids, repeated rows and ties are judged like others, texts of any length as a whole. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from statuta.llm import common, tokens
 
 MIN_WORDS, MOST_REPEATED = 50, 50
-H, STEPS, LEAST, ACCURACY = 0.75, 4, 200, 2_000
+H, STEPS, SETTLED, PRIOR, ACCURACY = 0.75, 8, 0.01, 200, 2_000
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
 FLOOR = (0.06, 0.04, 0.16, 0.12, 0.05)
 #: For a normal vector of five dimensions, one clean text in 10^8 is beyond 46.
@@ -140,18 +143,24 @@ def _shape(mean: list[float], cross: list[float], floor: tuple[float, ...]) -> n
     return scatter + np.diag(np.square(floor))
 
 
-def _inverted(estimates: DataFrame, consistency: float, floor: tuple[float, ...]) -> DataFrame:
-    """grp, mean and the inverse scatter as its upper triangle, the rest of it doubled."""
+def _inverted(estimates: DataFrame, consistency: float, floor: tuple[float, ...], prior: float) -> DataFrame:
+    """grp, mean and the inverse scatter as its upper triangle, the rest of it doubled. estimates: grp, n, mean and cross; grp 0 is all documents."""
+    estimates = common.cut(estimates.select("grp", "n", "mean", "cross"))
+    pooled = estimates.filter("grp = 0").first()
+    k = len(DIMENSIONS)
+    whole = (np.array(pooled["mean"]), _shape(pooled["mean"], pooled["cross"], (0,) * k)) if pooled else (np.zeros(k), np.zeros((k, k)))
 
     def run(frames):
         for f in frames:
-            inverse = []
-            for m, c in zip(f["mean"], f["cross"], strict=True):
-                shape = _shape(list(m), list(c), (0,) * len(m)) * consistency + np.diag(np.square(floor))
-                inverse.append((np.linalg.inv(shape) * (2 - np.eye(len(m))))[np.triu_indices(len(m))].tolist())
-            yield pd.DataFrame({"grp": f["grp"], "mean": f["mean"], "inverse": inverse})
+            means, inverse = [], []
+            for grp, n, m, c in zip(f["grp"], f["n"], f["mean"], f["cross"], strict=True):
+                own = 1.0 if grp == 0 else n / (n + prior)
+                shape = own * _shape(list(m), list(c), (0,) * k) + (1 - own) * whole[1]
+                means.append((own * np.array(m) + (1 - own) * whole[0]).tolist())
+                inverse.append((np.linalg.inv(shape * consistency + np.diag(np.square(floor))) * (2 - np.eye(k)))[np.triu_indices(k)].tolist())
+            yield pd.DataFrame({"grp": f["grp"], "mean": means, "inverse": inverse})
 
-    return estimates.select("grp", "mean", "cross").mapInPandas(run, "grp long, mean array<double>, inverse array<double>")
+    return common.cut(estimates.mapInPandas(run, "grp long, mean array<double>, inverse array<double>"))
 
 
 def _distance() -> Column:
@@ -165,32 +174,32 @@ def _distance() -> Column:
     return out
 
 
-def outliers(stats: DataFrame, groups: list[str], cutoff: float = CUTOFF, h: float = H, steps: int = STEPS, floor: tuple[float, ...] = FLOOR, least: int = LEAST) -> DataFrame:
+def outliers(stats: DataFrame, groups: list[str], cutoff: float = CUTOFF, h: float = H, steps: int = STEPS, floor: tuple[float, ...] = FLOOR, prior: float = PRIOR) -> DataFrame:
     """stats with distance (squared Mahalanobis, robust); stats has DIMENSIONS, and judged says which rows teach and are judged."""
-    stats = common.cut(stats)
-    sizes = stats.filter("judged").groupBy(*groups).agg(F.count("*").alias("size"))
-    # groups are numbered by a hash of their names; small ones share number 0
+    common.ship(stats.sparkSession)
+    # groups are numbered by a hash of their names; 0 is all documents
     number = F.xxhash64(*groups, *(F.col(g).isNull() for g in groups))
-    large = common.cut(sizes.filter(F.col("size") >= least).select(number.alias("grp")))
-    rows = stats.withColumn("key", number).join(common.small(large), F.col("key") == F.col("grp"), "left").withColumn("grp", F.coalesce("grp", F.lit(0).cast("long"))).drop("key")
+    rows = common.cut(stats.withColumn("grp", F.when(number == 0, F.lit(1).cast("long")).otherwise(number)))
     taught = rows.filter("judged").select("grp", *DIMENSIONS)
-    if sizes.filter(F.col("size") < least).limit(1).count():
-        # rows of small groups are judged by number 0, which all rows teach
-        taught = taught.filter("grp <> 0").union(taught.withColumn("grp", F.lit(0).cast("long")))
+    taught = taught.union(taught.withColumn("grp", F.lit(0).cast("long")))
     # the start: medians, and deviations from them on the diagonal
-    middle = common.cut(taught.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mean")))
-    apart = taught.join(common.small(middle), "grp").select("grp", "mean", *(F.abs(F.col(x) - F.col("mean")[i]).alias(x) for i, x in enumerate(DIMENSIONS)))
-    spread = apart.groupBy("grp").agg(F.first("mean").alias("mean"), F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mad"))
+    middle = common.cut(taught.groupBy("grp").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mean")))
+    apart = taught.join(common.small(middle), "grp").select("grp", "n", "mean", *(F.abs(F.col(x) - F.col("mean")[i]).alias(x) for i, x in enumerate(DIMENSIONS)))
+    spread = apart.groupBy("grp").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.array(*(F.percentile_approx(x, 0.5, ACCURACY) for x in DIMENSIONS)).alias("mad"))
     k = len(DIMENSIONS)
     cross = [(F.col("mean")[i] * F.col("mean")[j] + (F.pow(1.4826 * F.col("mad")[i], 2) if i == j else F.lit(0.0))) for i in range(k) for j in range(i, k)]
-    estimate = common.cut(_inverted(spread.select("grp", "mean", F.array(*cross).alias("cross")), 1.0, floor))
+    estimate, before = _inverted(spread.select("grp", "n", "mean", F.array(*cross).alias("cross")), 1.0, floor, prior), None
     for step in range(steps):
-        # the nearer h of a normal cloud are less spread than all of it
-        last = step == steps - 1
         near = taught.join(common.small(estimate), "grp").select("grp", *DIMENSIONS, _distance().alias("distance"))
         bound = common.cut(near.groupBy("grp").agg(F.percentile_approx("distance", h, ACCURACY).alias("bound")))
+        moved = F.col("bound") < (1 - SETTLED) * F.col("before")
+        last = step == steps - 1 or before is not None and not bound.join(before, "grp").filter(moved).limit(1).count()
         inner = near.join(common.small(bound), "grp").filter("distance <= bound").groupBy("grp").agg(*_moments())
-        estimate = common.cut(_inverted(inner, consistency(h, k) if last else 1.0, floor))
+        # the nearer h of a normal cloud are less spread than all of it
+        estimate = _inverted(inner, consistency(h, k) if last else 1.0, floor, prior)
+        if last:
+            break
+        before = bound.withColumnRenamed("bound", "before")
     return rows.join(common.small(estimate), "grp", "left").withColumn("distance", F.when(F.col("judged") & F.col("mean").isNotNull(), _distance())).withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).drop("grp", "mean", "inverse")
 
 
