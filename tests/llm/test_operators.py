@@ -59,8 +59,11 @@ def test_best_fit_is_the_plain_one():
         lengths = sorted((rng.randint(1, sizes[-1]) for _ in range(rng.randint(1, 80))), reverse=True)
         opening = lambda n, left: next(c for c in sizes if c >= n)  # noqa: E731, B023
         _, offsets, filled = packing.best_fit(lengths, sizes, opening)
-        # bins of equal room may be taken in another order, which leaves the same amounts of room
-        assert sum(filled) == sum(lengths) and len(filled) <= len(plain_best_fit(lengths, sizes, opening)) + 2
+        # of bins with equal room another may be taken, which leaves the same amounts of room and as many bins
+        assert sum(filled) == sum(lengths) and len(filled) == len(plain_best_fit(lengths, sizes, opening))
+        one = sizes[-1:]
+        largest = lambda n, left: one[0]  # noqa: E731, B023
+        assert sorted(packing.best_fit(lengths, one, largest)[2]) == plain_best_fit(lengths, one, largest)
 
 
 def test_packing_round_trip(spark, texts):
@@ -84,7 +87,12 @@ def test_joint_choice_is_no_dearer_than_one_size():
     lengths = sorted((min(8192, int(rng.lognormvariate(6, 1)) + 1) for _ in range(800)), reverse=True)
     cost = lambda fitted: sum(map(packing.sequence_cost, fitted))
     joint = cost(packing.pack_lengths(lengths)[2])
-    assert all(joint <= cost([size] * len(packing.best_fit(lengths, packing.SIZES, lambda n, left, s=size: s)[2])) for size in packing.SIZES[-1:])
+    for size in packing.SIZES:
+        # one size for all: longer texts are cut by it
+        cut = sorted((min(size, n - at) for n in lengths for at in range(0, n, size)), reverse=True)
+        alone = cost([size] * len(packing.best_fit(cut, (size,), lambda n, left, s=size: s)[2]))
+        again = cost(packing.pack_lengths(cut)[2])
+        assert again <= alone and (size < packing.SIZES[-1] or joint <= alone)
 
 
 # 2
@@ -222,6 +230,52 @@ def test_held_out_toxicity(spark):
     assert 2 * hit / (sum(a for a, _ in held) + sum(b for _, b in held)) > 0.9
 
 
+def hide(word, rng):
+    """A word in leetspeak, spaced or with a letter repeated."""
+    way = rng.randrange(3)
+    if way == 0:
+        leet = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7", "l": "1"}
+        return "".join(leet.get(c, c) for c in word)
+    if way == 1:
+        return rng.choice(" .-").join(word)
+    k = rng.randrange(1, len(word))
+    return word[:k] + word[k] * 4 + word[k + 1 :]
+
+
+def test_decoding_raises_the_recall_of_hidden_words(spark):
+    """Held-out toxic texts whose marks are hidden: the decoder finds most of them, none are found without it."""
+    sf = SF01.replace("0.01", "0.1")
+    rows = common.read(spark, sf, "documents").select("doc_id", "text")
+    labels = common.read(spark, sf, "labels").select("doc_id", "toxic")
+    held = common.crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(rows, labels.filter(~held))
+    restorer, whole, begins = model.scorer()
+    raw = toxicity.Restorer(None)
+    marks = {w for w in whole if w.isalpha() and len(w) >= 4}
+    rng, clear, found, without = random.Random(3), 0, 0, 0
+    for r in rows.join(labels.filter("toxic = 1").filter(held), "doc_id").orderBy("doc_id").collect():
+        if model.score(restorer.words(r.text, True, True), whole, begins) < 0.5:
+            continue
+        hidden = re.sub(r"[^\W\d_]+", lambda m: hide(m[0].lower(), rng) if m[0].lower() in marks or any(m[0].lower()[:n] in known for n, known in begins.items()) else m[0], r.text)
+        clear += 1
+        found += model.score(restorer.words(hidden, True, True), whole, begins) >= 0.5
+        without += model.score(raw.words(hidden, True, True), whole, begins) >= 0.5
+    print("hidden toxic texts:", clear, "found with the decoder:", found, "without:", without)
+    assert clear > 50 and found >= 0.8 * clear and found >= without + 0.3 * clear
+
+
+def test_long_tokens_are_decoded_in_linear_time(spark, docs):
+    import time
+
+    model = toxicity.CharModel(toxicity.corpus_trigrams(docs), ["idiot"])
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    rng = random.Random(1)
+    token = "".join(rng.choices(alphabet, k=5_000_000))
+    began = time.perf_counter()
+    toxicity.Restorer(model).words(token, True, False)
+    assert time.perf_counter() - began < 20
+
+
 def test_hidden_words_are_restored(spark, docs):
     model = toxicity.CharModel(toxicity.corpus_trigrams(docs), "loser idiot pathetic scum worthless moron trash clown disgusting stupid".split())
     r = toxicity.Restorer(model)
@@ -240,7 +294,7 @@ def test_decoding_is_the_likeliest_path(spark, docs):
         codes = [0, 0, *map(toxicity.char_class, path), 0]
         return sum(model.log[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
 
-    for token in ("1d10t", "l0$er", "!1aaa1", "7h3"):
+    for token in ("1d10t", "l0$er", "!1aaa1", "7h3", "1!1x!1", "aaa111a!!", "st1ff", "1", "ab", "i.d.!.o.t"):
         paths = ["".join(p) for p in itertools.product(*toxicity.lattice(token))]
         assert abs(total(toxicity.decode(token, model)) - max(map(total, paths))) < 1e-9
 
@@ -343,17 +397,38 @@ def test_store(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target=400_000, arrival_rows=40)
     for k in range(4):
         store.append(docs.filter(F.pmod("doc_id", F.lit(4)) == k))
-    before = store.manifest()
-    assert before["version"] == 4 and store.compact_all() >= 1
-    after = store.manifest()
-    assert len(after["shards"]) < len(before["shards"])
+    before = store.runs()
+    assert store.head()["version"] == 4 and len(before) == 4 and store.compact_all() >= 1
+    after = store.runs()
+    assert sum(r["files"] for r in after) < sum(r["files"] for r in before)
     same = lambda df: sorted(map(tuple, df.select("doc_id", "text").collect()))
     assert same(store.read()) == same(docs) == same(store.read(4))
     assert store.vacuum() > 0 and same(store.read()) == same(docs)
     other = sharding.ShardStore(spark, str(tmp_path / "store"))
-    assert not other._publish({"version": after["version"], "shards": []})  # that version is taken
-    assert other._commit([], {before["shards"][0]["path"]}) is None  # removed by the compaction
-    assert store.manifest() == after
+    head = store.head()
+    assert not other._publish(head | {"open": []})  # that version is taken
+    assert other._commit(None, {before[0]["path"]}) is None  # removed by the compaction
+    assert store.head() == head
+
+
+def test_tiers_are_the_plain_ones(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=1000, fanout=4)
+    run = lambda i, files, mean, level=0: {"path": f"data/{i}", "files": files, "bytes": files * mean, "level": level}
+    assert [store.tier(run(0, 3, n)) for n in (1000, 999, 250, 249, 62, 1)] == [0, 1, 1, 2, 3, 5]
+    assert store.tier(run(0, 1, 500, 1)) == 0 and store.tier(run(0, 1, 499, 1)) == 1 and store.tier(run(0, 5, 400, 2)) == 0
+    for r in (run(0, 1, 300), run(1, 2, 280), run(2, 3, 100), run(3, 1, 1200), run(4, 1, 90), run(5, 2, 20)):
+        store._commit(r, set())
+    assert [[r["path"] for r in runs] for runs in store.plan()] == [["data/2", "data/4"]]  # the others have fewer than four shards or are full
+
+
+def test_full_runs_move_to_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "LIST", 3)
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=10)
+    for i in range(9):
+        store._commit({"path": f"data/{i}", "files": 1, "bytes": 20 if i % 4 else 1, "level": 0}, set())
+    head = store.head()
+    assert len(head["lists"]) == 1 and len(head["full"]) == 2 and len(head["open"]) == 3
+    assert sorted(r["path"] for r in store.runs()) == [f"data/{i}" for i in range(9)] and len(store.runs(3)) == 3
 
 
 def test_compaction_query(spark, texts):
@@ -400,6 +475,47 @@ def test_scatter_ignores_outliers(spark):
     assert all(out[i] for i in range(900, 1000)) and sum(out[i] for i in range(900)) <= 2
 
 
+def plain_outliers(vectors, groups):
+    """Distances by the same estimates, one group after the other."""
+    k, floor = len(quality.DIMENSIONS), np.diag(np.square(quality.FLOOR))
+    every = np.array(vectors)
+    members = defaultdict(list)
+    for i, g in enumerate(groups):
+        members[g].append(i)
+    members = {g: every[m] for g, m in members.items()} | {0: every}
+    rank = lambda x, q: np.sort(x)[max(0, int(np.ceil(q * len(x))) - 1)]
+
+    def blended(n, mean, shape, factor):
+        out = {}
+        for g in members:
+            own = 1.0 if g == 0 else n[g] / (n[g] + quality.PRIOR)
+            out[g] = own * mean[g] + (1 - own) * mean[0], np.linalg.inv((own * shape[g] + (1 - own) * shape[0]) * factor + floor)
+        return out
+
+    middle = {g: np.array([rank(x, 0.5) for x in m.T]) for g, m in members.items()}
+    mad = {g: np.diag([np.square(1.4826 * rank(np.abs(x - c), 0.5)) for x, c in zip(m.T, middle[g], strict=True)]) for g, m in members.items()}
+    estimate, before = blended({g: len(m) for g, m in members.items()}, middle, mad, 1.0), None
+    distance = lambda g, m: np.einsum("ij,jk,ik->i", m - estimate[g][0], estimate[g][1], m - estimate[g][0])
+    for step in range(quality.STEPS):
+        far = {g: distance(g, m) for g, m in members.items()}
+        bound = {g: rank(d, quality.H) for g, d in far.items()}
+        last = step == quality.STEPS - 1 or before is not None and all(bound[g] >= (1 - quality.SETTLED) * before[g] for g in bound)
+        inner = {g: m[far[g] <= bound[g]] for g, m in members.items()}
+        estimate = blended({g: len(m) for g, m in inner.items()}, {g: m.mean(0) for g, m in inner.items()}, {g: (m.T @ m) / len(m) - np.outer(m.mean(0), m.mean(0)) for g, m in inner.items()}, quality.consistency(quality.H, k) if last else 1.0)
+        if last:
+            break
+        before = bound
+    return [float(distance(g, np.array([v]))[0]) for v, g in zip(vectors, groups, strict=True)]
+
+
+def test_distances_are_the_plain_ones(spark, docs):
+    rows = [r for r in quality.judge(docs).collect() if not r.base_failed]
+    want = plain_outliers([[r[d] for d in quality.DIMENSIONS] for r in rows], [(r.lang, r.source) for r in rows])
+    assert len({(r.lang, r.source) for r in rows}) > 20
+    assert np.allclose([r.distance for r in rows], want, rtol=1e-6, atol=1e-8)
+    assert [r.kept for r in rows] == [d <= quality.CUTOFF for d in want]
+
+
 # 10
 
 

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -63,6 +64,52 @@ def test_rows_of_small_groups_are_judged_by_all(spark):
     assert out.filter(F.col("lang") == "en").filter("outlier").count() < 30
 
 
+def test_a_large_group_of_long_texts(spark, monkeypatch):
+    """Blocks are bounded by shingles as well as by members, and rare hashes are counted like frequent ones."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 4_000)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(500)]
+    made = {}
+    for i in range(120):
+        words = list(base)
+        for _ in range(r.randint(0, 12)):
+            words[r.randrange(500)] = f"x{r.randrange(40)}"
+        made[i] = " ".join(words[: r.choice([500, 480, 410])])
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.join(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in made.items()}
+    want = {i: sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in made if j != i) for i in made}
+    lost = sum(want[i] - got[i][1] for i in made)
+    assert 0 <= lost <= 0.003 * sum(want.values()) and max(want.values()) > 60
+
+
+def test_overlaps_are_those_of_sets():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([pool[:60], r.choice(pool, 30), r.integers(0, 1 << 63, 20).astype(np.uint64)])) for _ in range(70)]
+    got = ngram_join.overlaps(sets[:40], sets[40:], width=16, most=50)
+    assert [[len(set(a.tolist()) & set(b.tolist())) for b in sets[40:]] for a in sets[:40]] == got.tolist()
+
+
+def test_a_long_text_full_of_entities_takes_linear_time():
+    import time
+
+    patterns = {"token=": "secret", "key=": "secret"}
+    one = f"token={secret(1)} mail a@example.org or 10.1.2.3 or +1 (017) 555-7713, key={secret(2)} "
+    began = time.perf_counter()
+    base, added = pii.all_spans(one * 10_000, patterns)
+    assert len(added) == 20_000 and len(base) == 30_000 and time.perf_counter() - began < 15
+
+
+def test_no_span_is_added_without_a_pattern():
+    assert pii.all_spans(f"so thing={secret(3)} it goes", {"token=": "secret"}) == ([], [])
+
+
+def test_long_cue_words_are_cues():
+    word = "a_very_long_name_of_an_access_token_in_a_config"
+    assert [c[3] for c in pii.cues(f"--{word}: {secret(4)}")] == [f"{word}:"] and [c[3] for c in pii.cues(f"x{word * 3}={secret(4)}")] != []
+
+
 def test_short_passages_are_quoted(spark, tmp_path):
     passages = ["", " ", "fox", "own fo", "the quick brown", "quick brown fox jumps", "absent", None, "Straße", "ick brown fox jumps ov", "50%_x"]
     texts = ["the quick brown fox jumps over", "fox fox", "", None, "in der Straße 50%_x"]
