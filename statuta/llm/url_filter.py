@@ -9,7 +9,8 @@ candidate rules, and only these run as regular expressions. Rules without such a
 every URL. Of the rules that match, the highest tier wins, then the longest, then the least name.
 
 Nulls: a null URL, or one without `://`, has an empty host and path and so the default verdict. Repeated
-URLs and ids get equal results. An empty table gives an empty result.
+URLs and ids get equal results. URLs of any length are judged whole; tokens and rules are matched in linear
+time, but for rules with several `*`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,8 +128,11 @@ def judge(df: DataFrame, url_col: str, rules: list[Rule], default: str = "allow"
 
 #: The listed rules, and the patterns that judge URLs which no listed rule fits.
 LISTED = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow")]
-SPAM = ["spam-farm", "cheap-pills", "casino", "viagra", "payday-loans", "porn", "xxx", "warez", "free-download", "replica-watches"]
-PATTERNS = [Rule(f"pattern:{x}", "block", f"^{x}^", 0) for x in SPAM]
+SPAM = ["spam-farm", "cheap-pills", "casino", "viagra", "payday-loans", "porn", "xxx", "warez", "free-download", "replica-watches", "poker", "slots", "escort", "crack", "keygen", "torrent", "link-farm", "essay-writing", "weight-loss", "forex-signals"]
+PATHS = ["wp-login", "wp-admin", "phpmyadmin", "cgi-bin", "doorway", "affiliate", "adclick", "popunder"]
+FILES = ["exe", "msi", "apk", "dmg", "iso", "rar", "torrent"]
+#: A word anywhere between separators, a folder or file of the path, a kind of file at the end of a name.
+PATTERNS = [Rule(f"word:{x}", "block", f"^{x}^", 0) for x in SPAM] + [Rule(f"path:{x}", "block", f"/{x}^", 0) for x in PATHS] + [Rule(f"file:{x}", "block", f"*.{x}^", 0) for x in FILES]
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -155,7 +159,7 @@ WITH u AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
             WHEN rule IS NOT NULL THEN 'allow'
-            WHEN regexp_matches(concat(host, path), '(^|[^A-Za-z0-9])(SPAMWORDS)([^A-Za-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(concat(host, path), '(^|[^A-Za-z0-9])(SPAMWORDS)([^A-Za-z0-9]|$)') OR regexp_matches(concat(host, path), '/(PATHWORDS)([^A-Za-z0-9]|$)') OR regexp_matches(concat(host, path), '\.(FILEWORDS)([^A-Za-z0-9]|$)') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM h
-""".replace("SPAMWORDS", "|".join(SPAM))
+""".replace("SPAMWORDS", "|".join(SPAM)).replace("PATHWORDS", "|".join(PATHS)).replace("FILEWORDS", "|".join(FILES))

@@ -204,13 +204,30 @@ def test_rounding_keeps_expectations(spark):
 
 
 def test_url_rules_joined_equal_inline(spark):
-    urls = ["http://a.example.net/en/1", "https://example.net/en", "http://x.NET/", "http://x.net", "http://x.org/fr/z?q", "http://www.cheap-pills.example.com/en/", "http://cheap-pillsx.com/", "nothing", None, "http://example.com/de/", "http://fr.example.com/de/?a#b", "ftp://u@net/x://y", "http://net/a", "http://éx.net/é"]
+    urls = ["http://a.example.net/en/1", "https://example.net/en", "http://x.NET/", "http://x.net", "http://x.org/fr/z?q", "http://www.cheap-pills.example.com/en/", "http://cheap-pillsx.com/", "nothing", None, "http://example.com/de/", "http://fr.example.com/de/?a#b", "ftp://u@net/x://y", "http://net/a", "http://éx.net/é", "http://a.org/b/setup.EXE", "http://a.org/b/setup.exe", "http://a.org/wp-login.php", "http://a.org/xwp-login", "http://a.org/" + "a-" * 50_000 + "casino"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *urls])], "page_id long, url string")
     rules = [*url_filter.LISTED, *url_filter.PATTERNS, url_filter.Rule("any", "block", "*/x*", 0)]
     rows = lambda n: sorted(map(tuple, url_filter.judge(df, "url", rules, inline=n).collect()), key=str)
     assert rows(1000) == rows(0)
 
 
+def test_an_index_of_many_rules(spark):
+    """Thousands of rules, joined by their rarest tokens, against each rule as a plain regular expression."""
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rules = {f"^{rng.choice(words)}-{rng.choice(words)}^" for _ in range(4000)} | {f"||{rng.choice(words)}.org/{rng.choice(words)}" for _ in range(1500)} | {f"/{rng.choice(words)}*{rng.choice(words)}^" for _ in range(600)}
+    rules = [url_filter.Rule(p, "block", p, i % 3) for i, p in enumerate(sorted(rules))]
+    urls = [f"http://{rng.choice(words)}.{rng.choice(words)}.org/{rng.choice(words)}-{rng.choice(words)}/{rng.choice(words)}" for _ in range(150)]
+    assert len(rules) > url_filter.INLINE_RULES
+    out = {r.url: (r.matched_rule, r.verdict) for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), "url", rules).collect()}
+    compiled = [(re.compile(url_filter.to_regex(r.pattern)), r) for r in rules]
+    for u in urls:
+        hits = [r for c, r in compiled if c.search(u.partition("://")[2])]
+        best = min(hits, key=lambda r: (-r.tier, -len(r.pattern), r.name), default=None)
+        assert out[u] == ((best.name, "block") if best else (None, "allow"))
+    assert sum(v[0] is not None for v in out.values()) > 50
+
+
 def test_urls_against_sql(spark):
     got = sorted(map(tuple, __spark_entry__.queries()["op4_url_filter"](spark, SF01).collect()))
     con = duckdb.connect()
