@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions import python as P
+from statuta.session import ship
+
 SPACES = r"[ \t\r\n]+"
+#: What else is white space once texts are composed.
+ANY_SPACES = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Some other character than those that composition leaves as they are: ASCII, letters of Latin-1 and Latin Extended-A, common punctuation.
+MAY_COMPOSE = r"[^\x00-\x9F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž–—‘’“”„•€]"
 
 # Lanes, labels, canonical families and patterns that results depend on.
 LANES = ("ordinance", "customs", "sales_tax", "federal_excise", "finance", "tax_laws_amendment", "other_acts", "income_tax_rules", "sales_tax_rules", "customs_rules", "federal_excise_rules", "other_rules", "manual")
@@ -29,8 +36,28 @@ PROPER_CITE = r"""(?i)<sup\b[^>]*>|class\s*=\s*["'][^"']*\bcite\b"""
 BLOCK_TAG = r"(?i)<(?:p|table|ul|ol|div|li|h[1-6])\b"
 SINGLE_HEADING = r"(?i)^\s*<(h[1-6])\b[^>]*>[\s\S]*</\1>\s*$"
 GLYPH_SPLIT = r"(?i)(?:(?<!\w)[A-Z]\s+[A-Z](?:\s+[A-Z])+(?!\w))|(?:CHAP\s+TER)|(?:SCHED\s+ULE)|(?:SECT\s+ION)|(?:\bO\s+mitted\b)|(?:\bR\s+epealed\b)"
+AMENDING = (
+    r"(?i)shall be (?:substituted|inserted|omitted|added|renumbered|re-numbered)"
+    r"|the following (?:new )?(?:section|sub-section|clause|schedule|table|division|part|proviso|entry|entries|words|amendments)"
+    r"|the following amendments shall be made|for the (?:words|figures|expression|semicolon|full stop|comma)"
+)
+AMENDING_DENSITY = 2.0
+FINANCE_FAMILY = r"^(finance(?:\s+supplementary)?\s+act),?\s*(?:19|20)\d{2}(?:\s*[-–]\s*\d{2})?$"
+FAMILY_ASIDE, FAMILY_DASH = r"\(.*?\)", r"(?i)\s*[-–]\s*(?=(?:as\s+)?(?:amended|updated)|upto|up\s*to|\bdated\b)"
+FAMILY_TAILS = (r"(?i),?\s*(as\s+)?(amended|updated).*$", r"(?i),?\s*upto.*$", r"(?i),?\s*up\s*to.*$", r"(?i),?\s*\bdated\b.*$")
 SHAPE_TAG = r"(?i)<(/?(?:p|div|table|thead|tbody|tr|td|th|ul|ol|li|h[1-6]|section|article|br))\b"
 WALL_LENGTH, BLEED_LENGTH = 800, 120
+FLAG_REASONS = {
+    "missing_table": "Mentions a table but HTML has no <table>",
+    "footnote_glue": "Footnote digits appear glued into words (no proper cite markers)",
+    "wall_of_text": "Long body with almost no block structure (heading-only / wall of text)",
+    "heading_body_bleed": "Heading looks like body text bled into the heading",
+}
+OTHER_REASON, OTHER_FLAG = "Parse quality issue: ", "quality"
+#: Shares that differ by less are equal for the gate.
+LEAST_CHANGE = 0.0005
+NO_QUOTE, SAME_PLACE, GONE, ONE_MATCH = "annotation has no text", "offsets unchanged", "text no longer present", "unique match"
+NO_CONTEXT, BY_CONTEXT, UNDECIDED = " identical matches and no stored context", "match resolved by surrounding context", " identical matches, context did not separate them"
 
 
 def norm_space(x: Column) -> Column:
@@ -38,6 +65,20 @@ def norm_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), SPACES, " "))
 
 
+def norm_text(x: Column) -> Column:
+    """Composed characters (NFKC) with runs of any white space as one space, none at the ends; case kept. Only texts that composition may change go to Python."""
+    ship(SparkSession.getActiveSession())
+    odd = P.nfkc(F.when(x.rlike(MAY_COMPOSE), x))
+    return F.trim(F.regexp_replace(F.coalesce(odd, x, F.lit("")), ANY_SPACES, " "))
+
+
+def amending_density(text: Column) -> tuple[Column, Column, Column]:
+    """Amending phrases of a text, their number in 10,000 characters, and whether that makes it an amending one."""
+    hits = F.regexp_count(text, F.lit(AMENDING))
+    density = F.lit(10000.0) * hits / F.greatest(F.char_length(text), F.lit(1))
+    return hits.cast("long").alias("hits"), F.round(density, 3).alias("density"), (density >= AMENDING_DENSITY).alias("amending")
+
+
 def strip_html(html: Column) -> Column:
     """Text without tags."""
     return norm_space(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " "))
@@ -55,9 +96,8 @@ def family_key(name: Column) -> Column:
 def portal_family_key(name: Column) -> Column:
     """The portal's family: rules by title, else the title without amendment and date, Finance Acts without year."""
     raw = F.trim(F.coalesce(name, F.lit("")))
-    base = F.regexp_replace(raw, r"\(.*?\)", " ")
-    base = F.regexp_replace(base, r"(?i)\s*[-–]\s*(?=(?:as\s+)?(?:amended|updated)|upto|up\s*to|\bdated\b)", " ")
-    for tail in (r"(?i),?\s*(as\s+)?(amended|updated).*$", r"(?i),?\s*upto.*$", r"(?i),?\s*up\s*to.*$", r"(?i),?\s*\bdated\b.*$"):
+    base = F.regexp_replace(F.regexp_replace(raw, FAMILY_ASIDE, " "), FAMILY_DASH, " ")
+    for tail in FAMILY_TAILS:
         base = F.regexp_replace(base, tail, " ")
     base = F.regexp_replace(base, r"(?i)^the\s+", " ")
     base = norm_space(F.regexp_replace(base, r"\s*,\s*", ", "))
@@ -68,8 +108,7 @@ def portal_family_key(name: Column) -> Column:
     out = out.when(base == "", F.lit("unknown"))
     for pattern, family in ACT_FAMILIES:
         out = out.when(base.rlike(pattern), F.lit(family))
-    finance = r"^(finance(?:\s+supplementary)?\s+act),?\s*(?:19|20)\d{2}(?:\s*[-–]\s*\d{2})?$"
-    return out.when(base.rlike(finance), F.regexp_extract(base, finance, 1)).otherwise(base)
+    return out.when(base.rlike(FINANCE_FAMILY), F.regexp_extract(base, FINANCE_FAMILY, 1)).otherwise(base)
 
 
 def family_title(key: Column) -> Column:
@@ -156,11 +195,11 @@ def html_shape(html: Column) -> Column:
 
 
 def text_sha(text: Column) -> Column:
-    return F.sha2(norm_space(text), 256)
+    return F.sha2(norm_text(text), 256)
 
 
 def variant_key(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *(norm_space(p) for p in parts)), 256)
+    return F.sha2(F.concat_ws("|", *(norm_text(p) for p in parts)), 256)
 
 
 def page_range_flag(start: Column, end: Column, total: Column) -> Column:
@@ -204,3 +243,60 @@ def snippet(text: Column, query: str) -> Column:
     head = F.concat(F.substring(text, 1, 100), F.when(F.char_length(text) > 100, "…").otherwise(""))
     count = ((F.char_length(low) - F.char_length(F.replace(low, needle))) / len(query)).cast("long")
     return F.struct(F.when(at >= 0, around).otherwise(head).alias("snippet"), F.when(at >= 0, count).otherwise(0).cast("long").alias("matches"))
+
+
+def reanchored(text: Column, quote: Column, start: Column, end: Column, before: Column, after: Column) -> Column:
+    """start, end, status and reason of a quote in a changed text: where it was, where it stands alone, or where its surroundings are most like the old ones.
+
+    Only texts with several matches go to Python.
+    """
+    text, quote, before, after = (F.coalesce(c, F.lit("")) for c in (text, quote, before, after))
+    first = F.position(quote, text)
+    again = F.position(quote, text, first + 1)
+    same = F.substring(text, start + 1, end - start) == quote
+    many = (quote != "") & ~same & (first > 0) & (again > 0)
+    best = P.best_surrounded(F.when(many, text), quote, before, after)
+    counted = lambda tail: F.concat(best["matches"].cast("string"), F.lit(tail))
+    bare = (before == "") & (after == "")
+    reason = (
+        F.when(quote == "", NO_QUOTE).when(same, SAME_PLACE).when(first == 0, GONE).when(again == 0, ONE_MATCH)
+        .when(bare, counted(NO_CONTEXT)).when(best["place"].isNotNull(), BY_CONTEXT).otherwise(counted(UNDECIDED))
+    )
+    place = F.when(reason == ONE_MATCH, first - 1).when(reason == BY_CONTEXT, best["place"]).otherwise(start)
+    found = reason.isin(SAME_PLACE, ONE_MATCH, BY_CONTEXT)
+    to = F.when(reason.isin(ONE_MATCH, BY_CONTEXT), place + F.char_length(quote)).otherwise(end)
+    return F.struct(place.cast("int").alias("start"), to.cast("int").alias("end"), F.when(found, "anchored").otherwise("needs_recheck").alias("status"), reason.alias("reason"))
+
+
+def flag_entries(raw: Column) -> Column:
+    """code, reason and critical of each stored flag: a bare code, or JSON of an object, or of an array of codes and objects."""
+    raw = F.trim(F.coalesce(raw, F.lit("")))
+    known = F.create_map(*[F.lit(x) for pair in FLAG_REASONS.items() for x in pair])
+    valid = F.try_parse_json(raw)
+    kind = F.substring(raw, 1, 1)
+    items = F.when(raw == "", F.array().cast("array<string>")).when(valid.isNull(), F.array(raw)).when(kind == "[", F.from_json(raw, "array<string>")).when(kind == "{", F.array(raw)).otherwise(F.array().cast("array<string>"))
+    text = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    first = lambda *x: F.coalesce(*(F.nullif(v, F.lit("")) for v in x), F.lit(""))
+
+    def entry(item: Column) -> Column:
+        inner = F.from_json(F.when(item.startswith("{"), item), "code string, flag string, reason string, message string")
+        code = F.when(item.startswith("{"), text(first(inner["code"], inner["flag"]))).otherwise(text(item))
+        reason = F.when(item.startswith("{"), text(first(inner["reason"], inner["message"]))).otherwise("")
+        named = F.when(code != "", code).when(reason != "", F.lit(OTHER_FLAG))
+        said = F.when(reason != "", reason).otherwise(F.coalesce(F.try_element_at(known, named), F.concat(F.lit(OTHER_REASON), named)))
+        return F.when(named.isNotNull(), F.struct(named.alias("code"), said.alias("reason"), F.coalesce(named.isin(*FLAG_REASONS), F.lit(False)).alias("critical")))
+
+    return F.filter(F.transform(items, entry), lambda e: e.isNotNull())
+
+
+def metric_changes(counts: dict[str, tuple[Column, Column]], shares: dict[str, tuple[Column, Column]]) -> Column:
+    """label, delta and better for each measurement that moved: counts by any number, shares, in per cent, by what the gate can tell. Each: now and before."""
+    moved = []
+    for label, (now, before) in counts.items():
+        delta = now - before
+        moved.append(F.when(delta != 0, F.struct(F.lit(label).alias("label"), delta.cast("string").alias("delta"), (delta > 0).alias("better"))))
+    for label, (now, before) in shares.items():
+        delta = now - before
+        shown = F.concat(F.when(delta > 0, "+").otherwise(""), F.format_string("%.3f", delta), F.lit("%"))
+        moved.append(F.when(F.abs(delta) >= LEAST_CHANGE, F.struct(F.lit(label).alias("label"), shown.alias("delta"), (delta > 0).alias("better"))))
+    return F.array_compact(F.array(*moved))

@@ -31,14 +31,19 @@ def heading_only(leaves: DataFrame, heading: Column, slack: int = 12) -> DataFra
 def short_vs_siblings(leaves: DataFrame, group: list[str], least: int = 50, share: float = 0.2) -> DataFrame:
     """Leaves much shorter than the upper median of their group of three or more.
 
-    The median is the row in the middle by rank, which is exact and keeps no group in memory.
+    The median is read off the counts of the group's lengths, so that no task holds a group's leaves.
     """
     rows = leaves.select("section_id", *group, F.char_length(F.coalesce("plain_text", F.lit(""))).cast("long").alias("len"))
+    lengths = rows.groupBy(*group, "len").agg(F.count("*").alias("c"))
     by = Window.partitionBy(*group)
-    rows = rows.withColumn("n", F.count("*").over(by)).withColumn("rank", F.row_number().over(by.orderBy("len", "section_id")))
-    rows = rows.withColumn("median", F.max(F.when(F.col("rank") == F.floor(F.col("n") / 2) + 1, F.col("len"))).over(by))
-    found = rows.filter((F.col("n") >= 3) & (F.col("median") >= least) & (F.col("len") < share * F.col("median")))
-    return found.select("section_id", *group, "len", "median", F.round(1 - F.col("len") / F.col("median"), 3).alias("score"))
+    lengths = lengths.withColumn("n", F.sum("c").over(by)).withColumn("upto", F.sum("c").over(by.orderBy("len")))
+    middle = lengths.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*group).agg(F.min("len").alias("median"), F.max("n").alias("n")).filter((F.col("n") >= 3) & (F.col("median") >= least))
+    r, m = rows.alias("r"), middle.alias("m")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"m.{g}"))
+    found = r.join(m, same & (F.col("len") < share * F.col("median")))
+    return found.select("section_id", *(F.col(f"r.{g}") for g in group), "len", "median", F.round(1 - F.col("len") / F.col("median"), 3).alias("score"))
 
 
 def glyph_split(leaves: DataFrame, pattern: str = T.GLYPH_SPLIT, most: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.functions import python as P
+from statuta.functions import text as T
 
 
 def merge_parsed(stored: DataFrame, parsed: DataFrame, key: str = "source_key") -> DataFrame:
@@ -29,7 +29,7 @@ def carry_over_report(merged: DataFrame) -> DataFrame:
 def reanchor_annotations(annotations: DataFrame, leaves: DataFrame, key: str = "section_id") -> DataFrame:
     """Annotations with their place in the leaves' new texts; those without a leaf need a check."""
     rows = annotations.join(leaves.select(key, F.col("plain_text").alias("__new")), key, "left")
-    moved = P.reanchor("__new", "highlighted_text", "start_offset", "end_offset", "context_before", "context_after")
+    moved = T.reanchored(*map(F.col, ("__new", "highlighted_text", "start_offset", "end_offset", "context_before", "context_after")))
     return rows.withColumn("__at", moved).select(*annotations.columns, F.col("__at.start").alias("new_start"), F.col("__at.end").alias("new_end"), F.when(F.col("__new").isNull(), "orphaned").otherwise(F.col("__at.status")).alias("new_status"), F.col("__at.reason").alias("reason"))
 
 

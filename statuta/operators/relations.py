@@ -51,6 +51,11 @@ def risk_rank(severity: Column) -> Column:
     return F.when(severity == "error", 0).when(severity == "warning", 1).otherwise(2)
 
 
+def worst(severity: str) -> Column:
+    """The severity of the highest risk, as an aggregate."""
+    return F.min_by(severity, risk_rank(F.col(severity)))
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """Rows offset + 1 to offset + limit in an order that must be total, with their rank in the page."""
     some = df.orderBy(*order).offset(offset).limit(limit)
@@ -58,23 +63,35 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str, order: list[str], width: int) -> DataFrame:
-    """The first interval by `order` that holds each point, null if none; an equi-join on cells of `width`."""
-    cells = intervals.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    placed = points.withColumn("__cell", F.floor(F.col(point) / width))
-    hit = placed.alias("p").join(cells.alias("i"), (F.col("p.__cell") == F.col("i.__cell")) & F.col(f"p.{point}").between(F.col(f"i.{start}"), F.col(f"i.{end}")), "left")
-    best = F.min(F.struct(*(F.col(f"i.{c}") for c in order)))
-    return hit.groupBy(*(F.col(f"p.{c}") for c in [key, point])).agg(best.alias("hit"))
+    """key, point and hit, the first interval by `order` that holds each point, null if none.
+
+    Points and bounds are whole numbers. Of the intervals that cover a cell of `width` whole only the first
+    counts, so each cell has one; only intervals that begin or end within a cell are compared with the
+    cell's points. Equal points are looked up once, and of equal intervals only the first.
+    """
+    best = lambda c="rank": F.min(c).alias(c)
+    ranked = intervals.select(F.col(start).alias("lo"), F.col(end).alias("hi"), F.struct(*order).alias("rank")).filter("lo <= hi").groupBy("lo", "hi").agg(best())
+    cells = ranked.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    whole = (F.col("lo") <= F.col("cell") * width) & (F.col("hi") >= (F.col("cell") + 1) * width - 1)
+    covered = cells.filter(whole).groupBy("cell").agg(F.min("rank").alias("cover"))
+    asked = points.select(F.col(point).alias("at")).distinct().withColumn("cell", F.floor(F.col("at") / width))
+    met = asked.join(cells.filter(~whole), "cell").filter(F.col("at").between(F.col("lo"), F.col("hi"))).groupBy("at").agg(best())
+    hits = asked.join(covered, "cell", "left").join(met, "at", "left").select("at", F.least("cover", "rank").alias("hit"))
+    return points.select(key, point).join(hits.filter("hit IS NOT NULL"), F.col(point) == F.col("at"), "left").select(key, point, "hit")
 
 
 def unique_band_match(old: DataFrame, new: DataFrame, keys: list[str], at: str, band: int, old_id: str, new_id: str) -> DataFrame:
-    """Pairs with equal keys (null equals null) and places at most `band` apart, where the old row has just one candidate."""
-    near = new.withColumn("__at", F.explode(F.sequence(F.col(at) - band, F.col(at) + band)))
+    """Pairs with equal keys (null equals null) and places at most `band` apart, where the old row has just one candidate.
+
+    New rows are counted by key and place first, so that cells meet and not rows.
+    """
+    cells = new.groupBy(*keys, at).agg(F.count("*").alias("n"), F.min(new_id).alias("new_id"))
+    near = cells.withColumn("at", F.explode(F.sequence(F.col(at) - band, F.col(at) + band))).groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.min("new_id").alias("new_id")).filter("n = 1")
     o, n = old.alias("o"), near.alias("n")
-    same = F.col(f"o.{at}") == F.col("n.__at")
+    same = F.col(f"o.{at}") == F.col("n.at")
     for k in keys:
         same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
-    hits = o.join(n, same).groupBy(F.col(f"o.{old_id}").alias("old_id")).agg(F.count("*").alias("candidates"), F.min(f"n.{new_id}").alias("new_id"))
-    return hits.filter("candidates = 1").select("old_id", "new_id")
+    return o.join(n, same).select(F.col(f"o.{old_id}").alias("old_id"), "new_id")
 
 
 def folio_votes(pages: DataFrame, by: str, at: str, printed: str, reach: int = 5) -> DataFrame:
@@ -101,9 +118,9 @@ def changepoint(df: DataFrame, by: str, order: list[str], big: Column) -> DataFr
     return best.select(by, F.when(F.col("best.score") >= F.col("all_big"), -F.col("best.k")).otherwise(F.col("n")).cast("long").alias("k"), F.greatest("best.score", "all_big").cast("long").alias("score"), "n")
 
 
-def conservation(source: DataFrame, output: DataFrame, by: str) -> DataFrame:
-    """Words of the source that the output lacks, as a multiset, and the share that is kept. Both: by, word."""
-    s, o = source.groupBy(by, "word").agg(F.count("*").alias("s")), output.groupBy(by, "word").agg(F.count("*").alias("o"))
-    both = s.join(o, [by, "word"], "left")
-    lost = F.greatest(F.col("s") - F.coalesce("o", F.lit(0)), F.lit(0))
-    return both.groupBy(by).agg(F.sum("s").alias("words"), F.sum(lost).alias("missing")).withColumn("conserved", F.round(100.0 * (F.col("words") - F.col("missing")) / F.col("words"), 3))
+def conservation(words: DataFrame, by: str) -> DataFrame:
+    """Words of the source that the output lacks, as a multiset, and the share that is kept. words: by, word and kept, false for one in the source and true for one in the output."""
+    counted = words.groupBy(by, "word").agg(F.count_if(~F.col("kept")).alias("s"), F.count_if("kept").alias("o"))
+    lost = F.greatest(F.col("s") - F.col("o"), F.lit(0))
+    both = counted.filter("s > 0").groupBy(by).agg(F.sum("s").alias("words"), F.sum(lost).alias("missing"))
+    return both.withColumn("conserved", F.round(100.0 * (F.col("words") - F.col("missing")) / F.col("words"), 3))

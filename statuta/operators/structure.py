@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.operators.tree_invariants import AMENDING
+from statuta.functions import repair as P
+from statuta.functions.text import AMENDING
 
 DASH = "[-–—―─━]"
 SECTION = r"^[\s\[“\"\d*]*?(\d{1,3}[A-Z]{0,3})\.\s*(\S.*)$"
@@ -312,3 +313,32 @@ def claim_placeholders(missing: DataFrame, lines: DataFrame, notes: DataFrame) -
     brackets = lines.filter(F.col("text").rlike(BRACKETS)).select("document", "page", "at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d{1,3})\s*\["), 1))).alias("marker"))
     found = by.join(brackets, ["document", "page", "marker"], "left").groupBy("document", "code").agg(F.min(F.struct(F.col("at").isNull().alias("none"), F.col("at"), F.col("page"), F.col("marker"))).alias("f"))
     return missing.join(found, ["document", "code"], "left").select("document", "code", "f.page", "f.marker", "f.at")
+
+
+def word_counts(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
+    """word and n, in lower case, of all matches in all texts."""
+    return docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(f"({pattern})"), 1)).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+
+
+def _with_solid(rows: DataFrame, wanted: DataFrame, solid: DataFrame, key: str) -> DataFrame:
+    """rows with __solid, those of their wanted words (key, word) that are solid."""
+    held = wanted.join(solid, "word").groupBy(key).agg(F.collect_set("word").alias("__solid"))  # words of one text
+    return rows.join(held, key, "left")
+
+
+def dehyphenate(rows: DataFrame, docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """rows with repaired: words that wraps cut are whole again, where docs have the joined form LEAST_WORD times or more and more often than the hyphenated one. key is unique."""
+    wraps = rows.filter(F.col(text_col).rlike(P.HYPHEN_WRAP)).select(key, F.explode(P.wrap_candidates(text_col)).alias("c")).select(key, F.col("c.joined").alias("word"), "c.hyphenated")
+    asked = wraps.select("word", "hyphenated").distinct()
+    whole = word_counts(docs, "text", "[A-Za-z]{3,}").filter(F.col("n") >= P.LEAST_WORD)
+    cut = word_counts(docs, "text", "[A-Za-z]{2,}-[a-z]{2,}").select(F.col("word").alias("hyphenated"), F.col("n").alias("cut"))
+    solid = asked.join(whole, "word").join(cut, "hyphenated", "left").filter(F.col("n") > F.coalesce("cut", F.lit(0))).select("word").distinct()
+    return _with_solid(rows, wraps.select(key, "word").distinct(), solid, key).withColumn("repaired", F.when(F.col("__solid").isNull() & ~F.col(text_col).rlike(P.HYPHEN_WRAP), F.col(text_col)).otherwise(P.dehyphenated(text_col, "__solid"))).drop("__solid")
+
+
+def close_spaced(rows: DataFrame, docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """rows with repaired: words whose letters stand apart are closed up, where docs have the closed form LEAST_SPACED times or more. key is unique."""
+    spaced = F.regexp_extract_all(text_col, F.lit(f"({P.SPACED_WORD})"), 1)
+    wanted = rows.select(key, F.explode(spaced).alias("w")).select(key, F.lower(F.replace("w", F.lit(" "), F.lit(""))).alias("word")).distinct()
+    solid = word_counts(docs, "text", "[A-Za-z]{3,}").filter(F.col("n") >= P.LEAST_SPACED).select("word")
+    return _with_solid(rows, wanted, solid, key).withColumn("repaired", F.when(F.col("__solid").isNull(), F.col(text_col)).otherwise(P.unspaced(text_col, "__solid"))).drop("__solid")

@@ -13,14 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.functions.text import AMENDING, AMENDING_DENSITY
 from statuta.operators.checks import TABLE, is_leaf, text
 from statuta.operators.invariants import CITED, violation
 
-AMENDING = (
-    r"(?i)shall be (?:substituted|inserted|omitted|added|renumbered|re-numbered)"
-    r"|the following (?:new )?(?:section|sub-section|clause|schedule|table|division|part|proviso|entry|entries|words|amendments)"
-    r"|the following amendments shall be made|for the (?:words|figures|expression|semicolon|full stop|comma)"
-)
 ORDINALS = "FIRST SECOND THIRD FOURTH FIFTH SIXTH SEVENTH EIGHTH NINTH TENTH ELEVENTH TWELFTH THIRTEENTH FOURTEENTH FIFTEENTH SIXTEENTH SEVENTEENTH".split()
 NUMERALS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 BOLD_MARKER = r"<li>(?:<sup[^>]*>[^<]*</sup>)?\[*\s*<strong>\((?:\d+[A-Za-z]{0,2}|[a-z]{1,3})\)"
@@ -57,7 +53,7 @@ def amending(tree: DataFrame) -> DataFrame:
     """Documents with two amending phrases or more in 10,000 characters of their chapters and preamble."""
     side = tree.filter((is_leaf() & (F.col("side") == "chapter")) | (F.col("level") == "preamble"))
     by = side.groupBy("document").agg(F.sum(F.regexp_count(text("plain_text"), F.lit(AMENDING))).alias("hits"), (F.sum(F.char_length(text("plain_text"))) + F.count("*") - 1).alias("chars"))
-    return by.filter((F.col("chars") > 0) & (10000.0 * F.col("hits") / F.col("chars") >= 2.0)).select("document")
+    return by.filter((F.col("chars") > 0) & (10000.0 * F.col("hits") / F.col("chars") >= AMENDING_DENSITY)).select("document")
 
 
 def lost_bodies(tree: DataFrame, notes: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def detect_short_vs_siblings(spark, sf_dir):
     return D.short_vs_siblings(leaves(spark, sf_dir), ["family_key", "section_code"])
 
 
-# without look-behind and back-reference, so that both engines read it
+# the operator's pattern with word borders in place of look-arounds
 GLYPHS = r"(?i)(?:\b[A-Z]\s+[A-Z](?:\s+[A-Z])+\b)|(?:CHAP\s+TER)|(?:SCHED\s+ULE)|(?:SECT\s+ION)|(?:\bO\s+mitted\b)|(?:\bR\s+epealed\b)"
 GLYPH_SQL = rf"""
 WITH h AS (SELECT doc_id, regexp_extract_all(text, '{GLYPHS}')[1:5] AS hits FROM documents)
@@ -86,11 +86,13 @@ FROM (SELECT doc_id, hits, unnest(range(len(hits))) AS i FROM h)
 
 @query("detect_glyph_split", GLYPH_SQL)
 def detect_glyph_split(spark, sf_dir):
-    return D.glyph_split(leaves(spark, sf_dir), GLYPHS)
+    return D.glyph_split(leaves(spark, sf_dir))
 
 
+#: Pages twice, the second time in another markup where they have paragraphs.
+DRIFTED_SQL = "(SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000000, url, replace(replace(html, '<p>', '<div>'), '</p>', '</div>') FROM pages)"
 DRIFT_SQL = f"""
-WITH l AS (SELECT page_id AS section_id, regexp_extract(url, '://[^/]*/([a-z]{{2}})/', 1) AS section_code, sha256({STRIPPED}) AS text_sha, {SHAPE} AS shape FROM pages),
+WITH l AS (SELECT page_id AS section_id, regexp_extract(url, '://[^/]*/([a-z]{{2}})/', 1) AS section_code, sha256({STRIPPED}) AS text_sha, {SHAPE} AS shape FROM {DRIFTED_SQL}),
 d AS (SELECT section_code, text_sha, count(*) AS members, count(DISTINCT shape) AS shapes FROM l GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT shape) > 1)
 SELECT section_id, section_code, members, shapes, CAST(0.4 AS DOUBLE) AS score FROM l JOIN d USING (section_code, text_sha)
 """
@@ -98,7 +100,10 @@ SELECT section_id, section_code, members, shapes, CAST(0.4 AS DOUBLE) AS score F
 
 @query("detect_markup_drift", DRIFT_SQL)
 def detect_markup_drift(spark, sf_dir):
-    return D.markup_drift(html_leaves(spark, sf_dir), ["section_code"])
+    rows = html_leaves(spark, sf_dir)
+    other = F.replace(F.replace("html_content", F.lit("<p>"), F.lit("<div>")), F.lit("</p>"), F.lit("</div>"))
+    rows = rows.union(rows.withColumn("section_id", F.col("section_id") + 1_000_000_000).withColumn("html_content", other))
+    return D.markup_drift(rows, ["section_code"])
 
 
 @query(
@@ -235,12 +240,11 @@ def family_and_edition(spark, sf_dir):
     SELECT doc_id, CAST(len(list_filter(w, lambda x: starts_with(x, 'th') OR starts_with(x, 'ing'))) AS BIGINT) AS hits FROM t
     WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'ing'))) > 0""")
 def search_prefix(spark, sf_dir):
-    words = docs(spark, sf_dir).select("doc_id", F.split(F.lower("text"), "[^a-z0-9_]+").alias("w"))
+    begins = lambda terms: rf"(?:^|[^a-z0-9_])(?:{'|'.join(terms)})"
     terms = T.search_terms("th* & ing")
-    begins = lambda t: lambda x: x.startswith(t)
-    every = reduce(lambda a, b: a & b, [F.exists("w", begins(t)) for t in terms])
-    hits = F.size(F.filter("w", lambda x: reduce(lambda a, b: a | b, [x.startswith(t) for t in terms])))
-    return words.filter(every).select("doc_id", hits.cast("long").alias("hits"))
+    low = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"))
+    every = reduce(lambda a, b: a & b, [F.col("low").rlike(begins([t])) for t in terms])
+    return low.filter(every).select("doc_id", F.regexp_count("low", F.lit(begins(terms))).cast("long").alias("hits"))
 
 
 @query("search_ilike", "SELECT doc_id, source, lang FROM documents WHERE text ILIKE '%license%'")
@@ -273,9 +277,11 @@ def hyphen_vocabulary(spark, sf_dir):
     SELECT doc_id, CAST(sum(s) AS BIGINT) AS words, CAST(sum(greatest(s - coalesce(o, 0), 0)) AS BIGINT) AS missing, round(100.0 * CAST(sum(s) - sum(greatest(s - coalesce(o, 0), 0)) AS DOUBLE) / CAST(sum(s) AS DOUBLE), 3) AS conserved
     FROM s LEFT JOIN o USING (doc_id, word) GROUP BY doc_id""")
 def conservation_audit(spark, sf_dir):
-    words = lambda x: docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(x, F.lit("([A-Za-z][A-Za-z]+)"), 1)).alias("word"))
-    kept = F.substring(F.col("text"), F.lit(1), F.floor(F.char_length("text") * 9 / 10).cast("int"))
-    return R.conservation(words(F.col("text")), words(kept), "doc_id")
+    """Words of whole texts that their first nine tenths lack."""
+    part = F.substring(F.col("text"), F.lit(1), F.floor(F.char_length("text") * 9 / 10).cast("int"))
+    words = lambda x, kept: F.transform(F.regexp_extract_all(x, F.lit("([A-Za-z][A-Za-z]+)"), 1), lambda w: F.struct(w.alias("word"), F.lit(kept).alias("kept")))
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(F.concat(words(F.col("text"), False), words(part, True))).alias("w")).select("doc_id", "w.word", "w.kept")
+    return R.conservation(rows, "doc_id")
 
 
 @query("amending_density", "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z])(?:the|und|les)(?:[^A-Za-z]|$)')) AS BIGINT) AS hits, round(10000.0 * len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z])(?:the|und|les)(?:[^A-Za-z]|$)')) / length(text), 3) AS density FROM documents WHERE length(text) > 0")
@@ -304,22 +310,26 @@ def source_key_collision(spark, sf_dir):
 
 @query("verbatim_quotes", "SELECT item_id, doc_id, CAST(strpos(d.text, b.text) AS BIGINT) AS place FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def verbatim_quotes(spark, sf_dir):
-    """Passages that documents contain. Passages and documents meet on a word pair's hash, not all with all.
+    """Passages that documents contain. Passages and documents meet on the hash of a word pair, each passage's rarest, not all with all.
 
-    Passages of fewer than four words have no pair of inner words: they are sought in all documents, as a broadcast if
-    they are few enough.
+    Only ids and pairs meet; texts are fetched for the documents that were met. Passages of fewer than four words
+    have no pair of inner words: they are sought in all documents, as a broadcast if they are few enough.
     """
-    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 1)), lambda i: F.xxhash64(F.slice(x, i, 2)))
+    pairs = lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))), F.lit(1), F.greatest(F.lit(1), F.size(w) - 1))
     words = lambda x: F.regexp_extract_all(x, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), words("text").alias("w")).filter("quote IS NOT NULL")
     short = quotes.filter("size(w) < 4").select("item_id", "quote")
-    quotes = quotes.filter("size(w) >= 4")
+    long = quotes.filter("size(w) >= 4")
     # inner words only: a passage may begin and end within a word of the document
-    quotes = quotes.select("item_id", "quote", F.element_at(pairs(F.slice("w", 2, 2)), 1).alias("pair"))
-    held = docs(spark, sf_dir).select("doc_id", "text", words("text").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(pairs(F.col("w")))).alias("pair"))
-    met = held.join(quotes, "pair").filter(F.contains("text", "quote")).select("item_id", "doc_id", "text", "quote")
-    met = met.union(docs(spark, sf_dir).join(small(short), F.contains("text", "quote")).select("item_id", "doc_id", "text", "quote"))
-    return met.select("item_id", "doc_id", F.position("quote", "text").cast("long").alias("place")).distinct()
+    inner = long.select("item_id", "quote", F.slice("w", F.lit(2), F.size("w") - 2).alias("w")).select("item_id", "quote", F.explode(F.array_distinct(pairs(F.col("w")))).alias("pair"))
+    held = docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", words("text").alias("w")).select(F.col("doc_id").alias("held_id"), F.explode(F.array_distinct(pairs(F.col("w")))).alias("pair"))
+    wanted = inner.select("pair").distinct()
+    counts = held.join(small(wanted), "pair").groupBy("pair").agg(F.count("*").alias("n"))
+    rarest = inner.join(counts, "pair").groupBy("item_id", "quote").agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"))
+    met = held.join(small(rarest), "pair").select("held_id", "item_id", "quote").distinct()
+    found = docs(spark, sf_dir).join(met, F.col("doc_id").eqNullSafe(F.col("held_id"))).filter(F.contains("text", "quote")).select("item_id", "doc_id", "text", "quote")
+    found = found.union(docs(spark, sf_dir).join(small(short), F.contains("text", "quote")).select("item_id", "doc_id", "text", "quote"))
+    return found.select("item_id", "doc_id", F.position("quote", "text").cast("long").alias("place")).distinct()
 
 
 INVARIANTS = {
@@ -332,10 +342,17 @@ INVARIANTS = {
 }
 
 
-@query("invariants_text", "\nUNION ALL ".join(f"SELECT '{n}' AS invariant, doc_id, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS hits FROM documents WHERE regexp_matches(text, '{p}')" for n, p in INVARIANTS.items()))
+#: Damage that is put at the end of texts, one for each invariant.
+DAMAGE = [" word7[x", " in the 21 st year", " abcdefghijklmnopqrstuvwxyzabc ", " bell\x07", "\n.12\n", " self- made"]
+DAMAGED_SQL = "(SELECT doc_id, coalesce(text, '') || CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DAMAGE)) + " ELSE '' END AS text FROM documents)"
+
+
+@query("invariants_text", "\nUNION ALL ".join(f"SELECT '{n}' AS invariant, doc_id, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS hits FROM {DAMAGED_SQL} WHERE regexp_matches(text, '{p}')" for n, p in INVARIANTS.items()))
 def invariants_text(spark, sf_dir):
-    """Violations of the invariants that are one pattern over a leaf's text, all in one pass."""
-    counted = docs(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("invariant"), F.regexp_count("text", F.lit(p)).cast("long").alias("hits")) for n, p in INVARIANTS.items()))).alias("v"))
+    """Violations of the invariants that are one pattern over a leaf's text, all in one pass, in texts of which some are damaged."""
+    put = F.element_at(F.array(*map(F.lit, [*DAMAGE, "", "", ""])), (F.col("doc_id") % 9 + 1).cast("int"))
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), put).alias("text"))
+    counted = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("invariant"), F.regexp_count("text", F.lit(p)).cast("long").alias("hits")) for n, p in INVARIANTS.items()))).alias("v"))
     return counted.select("v.invariant", "doc_id", "v.hits").filter("hits > 0")
 
 
@@ -356,15 +373,20 @@ def html_sanitize(spark, sf_dir):
 
 @query("text_diff")
 def text_diff(spark, sf_dir):
+    """Lines that differ from the edition before; editions are ordered by id alone, and texts joined to them."""
     ship(spark)
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("new"), F.lag("text").over(w).alias("old")).filter("old IS NOT NULL")
-    return rows.select("doc_id", F.explode(P.text_diff("old", "new")).alias("line"))
+    order = docs(spark, sf_dir).select("doc_id", "source", "lang").select(F.col("doc_id").alias("new_id"), F.lag("doc_id").over(w).alias("old_id")).filter("old_id IS NOT NULL")
+    text = docs(spark, sf_dir).select("doc_id", "text")
+    new = order.join(text.withColumnsRenamed({"doc_id": "new_id", "text": "new"}), "new_id")
+    rows = new.join(text.withColumnsRenamed({"doc_id": "old_id", "text": "old"}), "old_id").filter("old IS NOT NULL")
+    return rows.select(F.col("new_id").alias("doc_id"), F.explode(P.text_diff("old", "new")).alias("line"))
 
 
 @query("reanchor")
 def reanchor(spark, sf_dir):
-    """Each leaf's 40th to 80th character, sought in the text with its first 20 characters cut off."""
+    """Each leaf's 40th to 80th character, or as many as it has, sought in the text with its first 20 characters cut off."""
     ship(spark)
-    rows = docs(spark, sf_dir).filter("length(text) >= 140")
-    return rows.select("doc_id", P.reanchor(F.substring("text", 21, 1 << 30), F.substring("text", 41, 40), F.lit(40), F.lit(80), F.substring("text", 1, 40), F.substring("text", 81, 60)).alias("a")).select("doc_id", "a.*")
+    rows = docs(spark, sf_dir).filter("text IS NOT NULL")
+    found = T.reanchored(F.substring("text", 21, 1 << 30), F.substring("text", 41, 40), F.lit(40), F.lit(80), F.substring("text", 1, 40), F.substring("text", 81, 60))
+    return rows.select("doc_id", found.alias("a")).select("doc_id", "a.*")

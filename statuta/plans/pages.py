@@ -77,6 +77,25 @@ def invariant_code_order(spark, sf_dir):
     return I.code_order(leaf_frames(spark, sf_dir)[0]).select("document", "subject", "evidence")
 
 
-@query("invariant_structural_lines")
+@query("invariant_structural_lines", """
+    SELECT source AS document, CAST(doc_id AS VARCHAR) AS subject, CASE WHEN doc_id % 3 = 0 THEN 'CHAPTER IV' ELSE 'Division IIA' END AS evidence FROM documents WHERE doc_id % 3 < 2""")
 def invariant_structural_lines(spark, sf_dir):
-    return I.structural_lines(leaf_frames(spark, sf_dir)[0])
+    """Headings that are put before the texts of two leaves of three; in the third they stand within quotation marks."""
+    key = F.col("section_id") % 3
+    head = F.when(key == 0, "CHAPTER IV\n").when(key == 1, "Division IIA\n“").otherwise("“\nPART II\n")
+    leaf = leaf_frames(spark, sf_dir)[0].withColumn("plain_text", F.concat(head, F.replace(F.coalesce("plain_text", F.lit("")), F.lit("\n"), F.lit(" "))))
+    return I.structural_lines(leaf).select("document", "subject", "evidence")
+
+
+@query("invariant_ocr_fidelity", """
+    WITH p AS (SELECT l_suppkey, 100.0 * count(*) FILTER (l_returnflag <> 'R') / count(*) AS agreement, 100.0 * count(*) FILTER (l_discount < 0.02) / count(*) AS low_share, count(*) AS pages FROM lineitem GROUP BY l_suppkey),
+    d AS (SELECT l_suppkey, agreement < 85 OR low_share > 15 AS under, l_suppkey % 3 = 0 AS provisional, CASE WHEN l_suppkey % 2 = 0 THEN 'few pages' END AS reason FROM p WHERE l_suppkey % 7 > 0)
+    SELECT CAST(l_suppkey AS VARCHAR) AS document, 'ocr_fidelity_floor' AS invariant FROM d WHERE under AND NOT provisional
+    UNION ALL SELECT CAST(l_suppkey AS VARCHAR), 'provisional_is_flagged' FROM d WHERE under <> provisional OR (provisional AND coalesce(reason, '') = '')""")
+def invariant_ocr_fidelity(spark, sf_dir):
+    """Suppliers as scanned documents; every seventh was not scanned."""
+    of = lambda c: 100.0 * F.count_if(c) / F.count("*")
+    by = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(of(F.col("l_returnflag") != "R").alias("agreement"), of(F.col("l_discount") < 0.02).alias("low_share"), F.count("*").alias("n"))
+    key = F.col("l_suppkey")
+    doc = by.select(key.cast("string").alias("document"), F.when(key % 7 > 0, F.col("n")).alias("ocr_pages"), "agreement", "low_share", (key % 3 == 0).alias("provisional"), F.when(key % 2 == 0, "few pages").alias("reason"))
+    return I.ocr_rows(doc).select("document", "invariant")

@@ -18,16 +18,16 @@ RISK = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
 
 @query("upsert_findings", f"""
     WITH k AS (SELECT detector || ':' || CAST(document_id AS VARCHAR) AS fingerprint, * FROM {FINDINGS}),
-    p AS (SELECT fingerprint, max(severity) AS severity, max(score) AS score, min(triage) AS triage, max(seen_at) AS seen_at, min(seen_at) AS first_seen FROM k WHERE finding_id < 5000 GROUP BY fingerprint),
-    r AS (SELECT fingerprint, max(severity) AS severity, max(score) AS score, max(seen_at) AS seen_at FROM k WHERE finding_id >= 5000 GROUP BY fingerprint)
+    p AS (SELECT fingerprint, arg_min(severity, {RISK}) AS severity, max(score) AS score, min(triage) AS triage, max(seen_at) AS seen_at, min(seen_at) AS first_seen FROM k WHERE finding_id < 5000 GROUP BY fingerprint),
+    r AS (SELECT fingerprint, arg_min(severity, {RISK}) AS severity, max(score) AS score, max(seen_at) AS seen_at FROM k WHERE finding_id >= 5000 GROUP BY fingerprint)
     SELECT fingerprint, CASE WHEN p.triage IS NULL THEN 'inserted' WHEN r.seen_at IS NOT NULL THEN 'refreshed' WHEN p.triage = 'new' THEN 'closed' ELSE 'kept' END AS state,
       CASE WHEN p.triage IS NULL THEN 'new' WHEN r.seen_at IS NULL AND p.triage = 'new' THEN 'fixed' ELSE p.triage END AS triage,
       coalesce(r.severity, p.severity) AS severity, coalesce(r.score, p.score) AS score, coalesce(p.first_seen, r.seen_at) AS first_seen, coalesce(r.seen_at, p.seen_at) AS last_seen
     FROM p FULL JOIN r USING (fingerprint)""")
 def upsert_findings(spark, sf_dir):
     rows = findings(spark, sf_dir).withColumn("fingerprint", F.concat_ws(":", "detector", "document_id"))
-    prior = rows.filter("finding_id < 5000").groupBy("fingerprint").agg(F.max("severity").alias("severity"), F.max("score").alias("score"), F.min("triage").alias("triage"), F.max("seen_at").alias("seen_at"), F.min("seen_at").alias("first_seen"))
-    run = rows.filter("finding_id >= 5000").groupBy("fingerprint").agg(F.max("severity").alias("severity"), F.max("score").alias("score"), F.max("seen_at").alias("seen_at"))
+    prior = rows.filter("finding_id < 5000").groupBy("fingerprint").agg(R.worst("severity").alias("severity"), F.max("score").alias("score"), F.min("triage").alias("triage"), F.max("seen_at").alias("seen_at"), F.min("seen_at").alias("first_seen"))
+    run = rows.filter("finding_id >= 5000").groupBy("fingerprint").agg(R.worst("severity").alias("severity"), F.max("score").alias("score"), F.max("seen_at").alias("seen_at"))
     return R.upsert_findings(prior, run)
 
 

@@ -66,13 +66,21 @@ def test_python_functions(spark):
     assert P.clean("<p onclick='x'>a &amp; b<script>evil()</script></p>") == ("<p>a &amp; b</p>", "a & b", True)
     assert P.clean('<p class="c">ok<br></p>') == ('<p class="c">ok<br></p>', "ok", False)
     assert [P.from_roman(P.roman(n)) for n in (1, 4, 9, 14, 40, 90, 444, 1999)] == [1, 4, 9, 14, 40, 90, 444, 1999] and P.from_roman("AB") is None
-    assert P.locate("xx foo yy", "foo", 0, 3, "", "")[:3] == (3, 6, "anchored")
-    assert P.locate("foo one foo two", "foo", 9, 12, "one ", " two")[:2] == (8, 11)
-    assert P.locate("foo foo", "foo", 9, 12, "", "")[2] == "needs_recheck" and P.locate("a", "b", 0, 1, "", "")[3] == "text no longer present"
     rows = spark.createDataFrame([("ﬁne", "a\nb", "a\nc")], "t string, o string, n string").select(P.nfkc("t").alias("t"), P.text_diff("o", "n").alias("d")).first()
     assert rows.t == "fine" and "-b" in rows.d and "+c" in rows.d
 
 
+def test_reanchoring(spark):
+    found = lambda *a: tuple(one(spark, T.reanchored(*map(F.lit, a))))
+    assert found("xx foo yy", "foo", 3, 6, "", "") == (3, 6, "anchored", T.SAME_PLACE)
+    assert found("xx foo yy", "foo", 0, 3, "", "") == (3, 6, "anchored", T.ONE_MATCH)
+    assert found("foo one foo two", "foo", 9, 12, "one ", " two") == (8, 11, "anchored", T.BY_CONTEXT)
+    assert found("foo foo", "foo", 9, 12, "", "") == (9, 12, "needs_recheck", "2" + T.NO_CONTEXT)
+    assert found("foo foo foo", "foo", 9, 12, "z", "q") == (9, 12, "needs_recheck", "3" + T.UNDECIDED)
+    assert found("aaaa", "aa", 9, 11, "x", "") == (9, 11, "needs_recheck", "3" + T.UNDECIDED)
+    assert found("a", "b", 0, 1, "", "")[3] == T.GONE and found(None, "b", 0, 1, "", "")[3] == T.GONE and found("a", "", 0, 0, "", "")[3] == T.NO_QUOTE
+
+
 def test_geometry(spark):
     assert geometry.group_lines([10, 11, 30, 12.5, 31]) == [0, 0, 1, 0, 1]
     w = lambda text, x0, x1, top=10.0, size=10.0: {"text": text, "x0": x0, "x1": x1, "top": top, "size": size}
