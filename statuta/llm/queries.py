@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statuta.llm.columns import JOIN_SQL, OWN
 from statuta.llm.fingerprints import op2_winnowing
 from statuta.llm.langid import op6_language_id
 from statuta.llm.mixing import op3_source_mixing
@@ -20,8 +21,8 @@ from statuta.llm.url_filter import OP4_SQL, op4_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_best_fit_packing, op2_winnowing, op3_source_mixing, op4_url_filter, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_compaction, op9_quality_rules, op10_bootstrapped_pii]
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {name: f for name, (f, _) in OWN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op4_url_filter": OP4_SQL, "op7_ngram_jaccard_join": JOIN_SQL} | {name: sql for name, (_, sql) in OWN.items()}
