@@ -69,7 +69,7 @@ def test_texts_are_composed(spark):
     assert got == [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "")).strip() for t in odd]
 
 
-@pytest.mark.parametrize(("line", "kind"), [("(1) x", "subsec"), ("(1AAA) x", "subsec"), ("(iv) x", "roman"), ("(l) x", "clause"), ("(xli) x", "roman"), ("(ab) x", "clause"), ("4[5(1B) “x”", "subsec"), ("20.1[(6) x", "subsec"), ("1. Application", "rule"), ("1. application", "text"), ("THE FIRST PART", "htext"), ("THE 1ST", "text"), ("233 (2A) x", "text"), ("", "text"), (None, "text")])
+@pytest.mark.parametrize(("line", "kind"), [("(1) x", "subsec"), ("(1AAA) x", "subsec"), ("(iv) x", "roman"), ("(l) x", "clause"), ("(xli) x", "roman"), ("(ab) x", "clause"), ("4[5(1B) “x”", "subsec"), ("20.1[ (6) x", "subsec"), ("1. Application", "rule"), ("1. application", "text"), ("THE FIRST PART", "htext"), ("THE 1ST", "text"), ("233 (2A) x", "text"), ("", "text"), (None, "text")])
 def test_line_classes(spark, line, kind):
     assert spark.createDataFrame([(line,)], "t string").select(P.line_class(F.col("t"))).first()[0] == kind
 
