@@ -135,14 +135,14 @@ def proposal_issues(proposals: DataFrame, originals: DataFrame) -> DataFrame:
 
     Both: document, section_id, html, plain_text, start_page, end_page, footnotes (marker, text, html). Executors need the package.
     """
-    from statuta.functions.python import visible_text
+    from statuta.functions.python import visible_words
 
     names = ("html", "plain_text", "start_page", "end_page", "footnotes")
     old = originals.select("document", "section_id", *(F.col(c).alias(f"old_{c}") for c in names))
     rows = proposals.select("document", "section_id", *names).join(old, ["document", "section_id"])
     for c in ("html", "plain_text"):
         rows = rows.withColumn(c, F.coalesce(c, f"old_{c}", F.lit("")))
-    rows = rows.withColumn("seen", visible_text("html"))
+    rows = rows.withColumn("seen", visible_words("html"))
     squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     notes, old_notes = F.col("footnotes"), F.coalesce("old_footnotes", F.array())
     markers = lambda x: F.transform(x, lambda n: F.coalesce(n["marker"], F.lit("None")))

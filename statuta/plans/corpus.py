@@ -368,7 +368,28 @@ def invariants_html(spark, sf_dir):
 def html_sanitize(spark, sf_dir):
     ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", P.sanitize_html("html").alias("s"))
-    return pages.select("page_id", "s.changed", F.char_length("s.html").alias("html_length"), F.sha2("s.text", 256).alias("text_sha"))
+    return pages.select("page_id", "s.changed", F.char_length("s.html").alias("html_length"), F.sha2("s.text", 256).alias("text_sha"), F.array_join("s.diagnostics", ",").alias("diagnostics"), "s.text_fidelity", "s.structure_fidelity", F.sha2("s.signature", 256).alias("signature_sha"))
+
+
+#: Markup around a name, what may stay of it, and what was dropped.
+SANITIZED = [
+    ('<p onclick="x" class="cite odd">', " &amp; b</p>", '<p class="cite">', " &amp; b</p>", "dropped_attr:p.onclick,dropped_class:p", True, True),
+    ('<div style="text-align:center; margin-left:32px">', "<script>evil()</script></div>", '<div class="crx-align-center crx-indent-2">', "</div>", "converted_style:div,dropped_tag:script", True, True),
+    ("<font>", "</font><!-- c -->", "", "", "unwrapped_tag:font,dropped_comment", True, True),
+    ('<td colspan="2" style="flex: 0 0 33.3%">', "</td>", '<td colspan="2" style="flex:0 0 33.3%">', "</td>", "converted_style:td", True, True),
+    ('<ol start="3"><li value="4">', "<br/></li></ol>", '<ol start="3"><li value="4">', "<br></li></ol>", "", True, True),
+    ("<svg><ul><li>gone</li></ul></svg><p>", "</p>", "<p>", "</p>", "dropped_tag:svg", True, False),
+    ("<p>", "</p>", "<p>", "</p>", "", False, True),
+]
+
+
+@query("sanitizer_cases", "WITH c(k, a, z, notes, changed, same) AS (VALUES " + ", ".join(f"({i}, '{a}', '{z}', '{n}', {c}, {t})" for i, (_, _, a, z, n, c, t) in enumerate(SANITIZED)) + f") SELECT p_partkey, a || p_name || z AS html, notes AS diagnostics, changed, true AS text_fidelity, same AS structure_fidelity FROM part JOIN c ON p_partkey % {len(SANITIZED)} = k")
+def sanitizer_cases(spark, sf_dir):
+    """Names in all kinds of markup."""
+    ship(spark)
+    case = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in SANITIZED)), (F.col("p_partkey") % len(SANITIZED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", P.sanitize_html(F.concat(case(0), "p_name", case(1))).alias("s"))
+    return rows.select("p_partkey", "s.html", F.array_join("s.diagnostics", ",").alias("diagnostics"), "s.changed", "s.text_fidelity", "s.structure_fidelity")
 
 
 @query("text_diff")

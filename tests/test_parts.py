@@ -63,8 +63,14 @@ def test_snippet_and_terms(spark):
 
 
 def test_python_functions(spark):
-    assert P.clean("<p onclick='x'>a &amp; b<script>evil()</script></p>") == ("<p>a &amp; b</p>", "a & b", True)
-    assert P.clean('<p class="c">ok<br></p>') == ('<p class="c">ok<br></p>', "ok", False)
+    parts = lambda h: tuple(P.clean(h)[k] for k in ("html", "text", "changed"))
+    assert parts("<p onclick='x'>a &amp; b<script>evil()</script></p>") == ("<p>a &amp; b</p>", "a & b", True)
+    assert parts('<p class="cite">ok<br></p>') == ('<p class="cite">ok<br></p>', "ok", False)
+    made = P.clean('<td rowspan="2" style="FLEX: 0 0 12.5%; font-weight:700" class="odd frac" href="x">1<font>2</font><!-- c --></td>')
+    assert made["html"] == '<td rowspan="2" style="flex:0 0 12.5%" class="crx-bold frac">12</td>' and made["text_fidelity"] and made["structure_fidelity"]
+    assert made["diagnostics"] == ["converted_style:td", "dropped_class:td", "dropped_attr:td.href", "unwrapped_tag:font", "dropped_comment"] and made["signature"] == "td rowspan=2"
+    assert not P.clean("<ul><li>a</li></ul><svg><li>b</li></svg>")["structure_fidelity"] and P.clean("<svg>b</svg>a")["text_fidelity"]
+    assert [P.style_class("margin-left", v) for v in ("40px", "6pt", "9em", "1ex")] == ["crx-indent-2", "crx-indent-1", "crx-indent-4", None]
     assert [P.from_roman(P.roman(n)) for n in (1, 4, 9, 14, 40, 90, 444, 1999)] == [1, 4, 9, 14, 40, 90, 444, 1999] and P.from_roman("AB") is None
     rows = spark.createDataFrame([("ﬁne", "a\nb", "a\nc")], "t string, o string, n string").select(P.nfkc("t").alias("t"), P.text_diff("o", "n").alias("d")).first()
     assert rows.t == "fine" and "-b" in rows.d and "+c" in rows.d
