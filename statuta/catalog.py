@@ -32,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from statuta.plans import corpus, intake, library, pages, relational, repair, review, streams, structure, trees  # noqa: F401
+    from statuta.plans import blocks, corpus, intake, library, pages, relational, repair, review, streams, structure, trees  # noqa: F401
 
 
 _load()

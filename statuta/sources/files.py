@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,3 +119,19 @@ def write_flat_csv(rows: DataFrame, path: str) -> None:
 def prometheus_lines(counts: DataFrame, metric: str, label: str) -> DataFrame:
     """counts (label, n) as lines of the text format."""
     return counts.select(F.format_string(f'{metric}{{{label}="%s"}} %d', F.col(label), F.col("n")).alias("value"))
+
+
+def layout_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, page, line and text of page layouts as text, whose pages end in form feeds."""
+    pages = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.posexplode(F.split("value", "\f")).alias("page", "text"))
+    return pages.select("file", (F.col("page") + 1).alias("page"), F.posexplode(F.split("text", "\r?\n")).alias("line", "text"))
+
+
+def cached(spark: SparkSession, folder: str, identity: str, parameters: dict, compute) -> DataFrame:
+    """What compute() gives, written once for a digest of identity and parameters and read after that. folder is shared by all executors."""
+    name = hashlib.sha256(json.dumps([identity, parameters], sort_keys=True).encode()).hexdigest()
+    path = f"{folder}/{name}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

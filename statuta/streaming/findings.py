@@ -78,3 +78,8 @@ def totals_to_end(rows: DataFrame, folder: str) -> DataFrame:
 def write_batches(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs merge on each batch; a batch may come again after a failure, so merge must be idempotent by batch number."""
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def poll(rows: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 1):
+    """A running query that does the work on each batch of new rows, looking every so many seconds; stop() ends it. A batch may come again after a failure."""
+    return rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -17,7 +17,9 @@ from statuta.functions import text as T
 from statuta.operators import library as L
 from statuta.operators import relations as R
 from statuta.operators import structure as S
+from statuta.sources import files
 from statuta.sources.tables import table
+from statuta.streaming import findings as S2
 from tests.conftest import SF
 
 
@@ -126,3 +128,28 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     spark = type("Session", (), {"sparkContext": Context(), "conf": {}})()
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(spark)
+
+
+def test_layouts_and_caches(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\fthree\r\nfour")
+    rows = files.layout_lines(spark, str(tmp_path / "a.txt")).orderBy("page", "line").collect()
+    assert [(r.page, r.line, r.text) for r in rows] == [(1, 0, "one"), (1, 1, "two"), (2, 0, "three"), (2, 1, "four")]
+    calls = []
+    compute = lambda: calls.append(1) or spark.range(3)
+    for dpi in (300, 300, 200):
+        assert files.cached(spark, str(tmp_path / "cache"), "page 1", {"dpi": dpi}, compute).count() == 3
+    assert len(calls) == 2
+
+
+def test_polling(spark, tmp_path):
+    import time
+
+    spark.range(5).selectExpr("id", "id * 2 AS x").write.parquet(str(tmp_path / "in"))
+    seen = []
+    rows = spark.readStream.schema("id long, x long").parquet(str(tmp_path / "in"))
+    q = S2.poll(rows, lambda batch, n: seen.append(batch.count()), str(tmp_path / "state"))
+    deadline = time.time() + 60
+    while sum(seen) < 5 and time.time() < deadline:
+        time.sleep(0.2)
+    q.stop()
+    assert sum(seen) == 5
