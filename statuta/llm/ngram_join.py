@@ -38,7 +38,7 @@ from statuta.llm import common, tokens
 WORDS, THRESHOLD, RECALL = 5, (4, 5), 0.997
 MOST_HASHES = 256
 #: Members of a block; how many blocks a size class has before they grow, and up to which size; shingles of a block.
-BLOCK, BLOCKS, LARGEST_BLOCK, BLOCK_SHINGLES = 256, 24, 2_048, 1 << 20
+BLOCK, BLOCKS, LARGEST_BLOCK, BLOCK_SHINGLES = 128, 24, 2_048, 1 << 20
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
