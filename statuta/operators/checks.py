@@ -91,10 +91,6 @@ def at_division(case: Case, value: Column, parts: bool = True) -> Column:
     return first(in_schedule(case), wanted, [is_level("part"), F.col("place")], value)
 
 
-def in_part(case: Case) -> Column:
-    return in_schedule(case) & F.col("part_at").isNotNull() & same_code("part_code", case.part)
-
-
 def notes_with(ref: str | None) -> Column:
     return F.filter(F.coalesce("footnotes", F.array()), lambda n: n["ref"] == F.lit(ref))
 

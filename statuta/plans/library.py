@@ -397,3 +397,15 @@ def merge_report(spark, sf_dir):
     return M.carry_over_report(M.merge_parsed(stored, parsed))
 
 
+@query("moved_annotations", """
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 45 ELSE 40 END AS new_start, CASE doc_id % 3 WHEN 0 THEN 85 ELSE 80 END AS new_end, CASE doc_id % 3 WHEN 0 THEN 'anchored' WHEN 1 THEN 'orphaned' ELSE 'anchored' END AS new_status
+    FROM documents WHERE length(text) >= 140 AND strpos(text, substr(text, 41, 40)) = 41 AND strpos(substr(text, 42), substr(text, 41, 40)) = 0""")
+def moved_annotations(spark, sf_dir):
+    """Notes on a passage that stands once in its leaf: in every third leaf a word was put before the text, another third lost its leaf."""
+    quote = F.substring("text", 41, 40)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter((F.char_length("text") >= 140) & (F.position(quote, F.col("text")) == 41) & (F.position(quote, F.col("text"), F.lit(42)) == 0))
+    none = F.lit("")
+    notes = docs.select(F.col("doc_id").alias("section_id"), quote.alias("highlighted_text"), F.lit(40).alias("start_offset"), F.lit(80).alias("end_offset"), none.alias("context_before"), none.alias("context_after"))
+    key = F.col("doc_id") % 3
+    leaves = docs.filter(key != 1).select(F.col("doc_id").alias("section_id"), F.when(key == 0, F.concat(F.lit("New. "), "text")).otherwise(F.col("text")).alias("plain_text"))
+    return M.reanchor_annotations(notes, leaves).select(F.col("section_id").alias("doc_id"), "new_start", "new_end", "new_status")

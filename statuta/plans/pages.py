@@ -99,3 +99,14 @@ def invariant_ocr_fidelity(spark, sf_dir):
     key = F.col("l_suppkey")
     doc = by.select(key.cast("string").alias("document"), F.when(key % 7 > 0, F.col("n")).alias("ocr_pages"), "agreement", "low_share", (key % 3 == 0).alias("provisional"), F.when(key % 2 == 0, "few pages").alias("reason"))
     return I.ocr_rows(doc).select("document", "invariant")
+
+
+@query("page_bodies", """
+    WITH l AS (SELECT l_orderkey AS page, l_partkey AS id, l_linenumber * 14.0 AS top, CASE WHEN l_linenumber % 6 = 1 THEN '- ' || l_suppkey || ' -' ELSE 'text ' || l_suppkey END AS text FROM lineitem), p AS (SELECT page, max(TRY_CAST(nullif(regexp_extract(text, '^[^0-9A-Za-z_]*(\\d{1,4})[^0-9A-Za-z_]*$', 1), '') AS INTEGER)) AS printed_page FROM l WHERE top < 20 OR top > 90 GROUP BY page)
+    SELECT page, id, text, printed_page FROM l LEFT JOIN p USING (page) WHERE top BETWEEN 20 AND 90""")
+def page_bodies(spark, sf_dir):
+    """Line items as lines: the first and those far down are running heads, and some of them a lone number."""
+    number = F.col("l_suppkey").cast("string")
+    text = F.when(F.col("l_linenumber") % 6 == 1, F.concat(F.lit("- "), number, F.lit(" -"))).otherwise(F.concat(F.lit("text "), number))
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("lineitem").alias("document"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id"), (F.col("l_linenumber") * 14.0).alias("top"), text.alias("text"))
+    return G.without_running_heads(lines, 20.0, 90.0).select("page", "id", "text", "printed_page")

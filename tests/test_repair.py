@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from statuta.functions import headings as H
+from statuta.functions import python
 from statuta.functions import repair as P
 from statuta.functions import text as T
+from statuta.operators import geometry
 from statuta.operators import library as L
 from statuta.operators import relations as R
 from statuta.operators import structure as S
@@ -153,3 +155,26 @@ def test_polling(spark, tmp_path):
         time.sleep(0.2)
     q.stop()
     assert sum(seen) == 5
+
+
+def test_files_of_documents(spark, tmp_path):
+    pdfs = spark.createDataFrame([("/b/x.pdf",), ("/a/x.pdf",), ("/a/y.pdf",)], "path string")
+    jsons = spark.createDataFrame([("1.json", "x.pdf"), ("2.json", "z.pdf")], "file string, filename string")
+    found, without = files.match_json_to_pdf(jsons, pdfs)
+    assert [tuple(r) for r in found.select("file", "pdf").collect()] == [("1.json", "/a/x.pdf")] and [r.file for r in without.collect()] == ["2.json"]
+    files.write_documents(jsons, str(tmp_path / "j"))
+    files.write_flat_csv(jsons, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_contents_of_documents(spark):
+    lines = ["CHAPTER I", "PRELIMINARY", "1. Short title 3", "2. Definitions 4"]
+    df = spark.createDataFrame([("d", 1, i, t) for i, t in enumerate(lines)], "document string, page int, line int, text string")
+    want = [(r["kind"], r["code"], r["page"]) for r in geometry.parse_toc(lines)]
+    assert [(r.kind, r.code, r.printed_page) for r in geometry.toc_rows(df).orderBy("idx").collect()] == want and len(want) >= 2
+
+
+def test_visible_text(spark):
+    rows = spark.createDataFrame([("<p>a &amp; <b>b</b><script>x</script></p>",), (None,)], "h string")
+    assert [r[0] for r in rows.select(python.visible_text("h")).collect()] == ["a & b", ""]
+    assert [r[0] for r in rows.select(python.visible_words("h")).collect()] == ["a & b", ""]
