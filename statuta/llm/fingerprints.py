@@ -34,14 +34,27 @@ transform(array(CASE WHEN size(h) = 0 THEN CAST(array() AS array<bigint>)
   WHEN size(h) < {k} THEN array(shiftleft(xxhash64(h) & 2147483647L, 32) + 4294967295L)
   ELSE transform(sequence(0, size(h) - {k}), i -> shiftleft(xxhash64({gram}) & 2147483647L, 32) + (4294967295L - i)) END), g ->
   CASE WHEN size(g) <= {w} THEN filter(array(array_min(g)), x -> x IS NOT NULL)
-  ELSE array_distinct(transform(sequence(1, size(g) - {w} + 1), i -> array_min(slice(g, i, {w})))) END
+  ELSE {least} END
 )[0])[0])[0]
 """
 
 
+def _least(w: int) -> str:
+    """The least of each w neighbours of the array g, each once: of windows twice as long each time, the last two of which may overlap."""
+    steps, have, name = [], 1, "g"
+    while have < w:
+        shift = min(have, w - have)
+        steps.append((f"m{have + shift}", f"zip_with({name}, slice({name}, {shift + 1}, size(g)), (x, y) -> least(x, y))"))
+        have, name = have + shift, f"m{have + shift}"
+    out = f"array_distinct(slice({name}, 1, size(g) - {w} + 1))"
+    for name, step in reversed(steps):
+        out = f"transform(array({step}), {name} -> {out})[0]"
+    return out
+
+
 def winnow(text: str, k: int = K, w: int = W) -> Column:
     """The selected grams of a text column, by name: array<bigint> in the order of their positions."""
-    return F.expr(_FINGERPRINT.format(text=f"coalesce(`{text}`, '')", k=k, w=w, gram=", ".join(f"h[i + {j}]" for j in range(k))))
+    return F.expr(_FINGERPRINT.format(text=f"coalesce(`{text}`, '')", k=k, w=w, gram=", ".join(f"h[i + {j}]" for j in range(k)), least=_least(w)))
 
 
 def gram_set(selected: Column) -> Column:

@@ -123,6 +123,15 @@ def test_fingerprints_match_plain_winnowing(spark):
         assert got[i] == want
 
 
+def test_windows_of_any_length(spark):
+    rng = random.Random(6)
+    rows = [[rng.randrange(50) for _ in range(n)] for n in (17, 40, 90)]
+    df = spark.createDataFrame([(r,) for r in rows], "g array<long>")
+    for w in (1, 2, 3, 5, 7, 8, 13, 16, 17):
+        got = [r[0] for r in df.select(F.expr(fingerprints._least(w))).collect()]
+        assert got == [list(dict.fromkeys(min(g[i : i + w]) for i in range(len(g) - w + 1))) for g in rows]
+
+
 def test_edited_texts(spark, texts):
     out = {r.doc_id: r for r in __spark_entry__.queries()["op2_winnowing"](spark, SF01).collect()}
     order = sorted(texts, reverse=True)

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from statuta.llm import ngram_join, pii, quality
+from statuta.llm import common, mixing, ngram_join, pii, quality
 from tests.conftest import SF
 
 
@@ -126,3 +126,19 @@ def test_short_passages_are_quoted(spark, tmp_path):
 def test_headings_are_whole(spark):
     found = __spark_entry__.queries()["discover_structure"](spark, SF)
     assert max(len(str(v)) for r in found.collect() for v in r) > 100
+
+
+def test_shuffled_joins_equal_broadcasts(spark, monkeypatch):
+    """Each user of counted broadcasts, with none allowed and with all."""
+    docs = common.read(spark, SF, "documents")
+    whole = lambda df: sorted(map(str, df.collect()))
+    run = {
+        "mixing": lambda: whole(mixing.mix(docs, common.word_count(F.col("text")), chunk=16)),
+        "join": lambda: whole(ngram_join.join(docs)),
+        "quality": lambda: [(r.doc_id, r.kept, round(r.distance or 0, 6)) for r in quality.judge(docs).orderBy("doc_id").collect()],
+        "pii": lambda: sorted(pii.learn(docs).items()),
+    }
+    before = {name: f() for name, f in run.items()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for name, f in run.items():
+        assert f() == before[name], name
