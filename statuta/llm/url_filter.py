@@ -41,9 +41,11 @@ def host_rule(name: str, action: str, tier: int = 1) -> Rule:
 
 def to_regex(pattern: str) -> str:
     """The Java regular expression of a pattern."""
-    out, rest = "", pattern
+    out, rest = "", pattern.rstrip("*")  # a search needs no marks at the ends; with them it would try all places from all places
     if rest.startswith("||"):
         out, rest = r"^(?:[^/]*\.)?", rest[2:]
+    else:
+        rest = rest.lstrip("*")
     for part in re.split(r"([\^*])", rest):
         out += {"^": "(?:[^A-Za-z0-9]|^|$)", "*": "[\\s\\S]*"}.get(part) or re.sub(r"([^A-Za-z0-9])", r"\\\1", part)
     return out
