@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from statuta.llm import common
 
 K, W = 5, 16
-ROWS_PER_BUCKET, MOST_BUCKETS = 1_000, 50_000
+ROWS_PER_BUCKET, MOST_BUCKETS = 4_000, 50_000
 
 _FINGERPRINT = r"""
 transform(array(filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w != '')), words ->
