@@ -352,7 +352,7 @@ def invariants_text(spark, sf_dir):
     """Violations of the invariants that are one pattern over a leaf's text, all in one pass, in texts of which some are damaged."""
     put = F.element_at(F.array(*map(F.lit, [*DAMAGE, "", "", ""])), (F.col("doc_id") % 9 + 1).cast("int"))
     rows = docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), put).alias("text"))
-    counted = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("invariant"), F.regexp_count("text", F.lit(p)).cast("long").alias("hits")) for n, p in INVARIANTS.items()))).alias("v"))
+    counted = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("invariant"), F.regexp_count("text", F.lit(T.as_in_sql(p))).cast("long").alias("hits")) for n, p in INVARIANTS.items()))).alias("v"))
     return counted.select("v.invariant", "doc_id", "v.hits").filter("hits > 0")
 
 
