@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 # Private glyphs and what they print as, markers of line classes, patterns of damaged text, limits of vocabularies.
 GLYPHS_FROM, GLYPHS_TO = "", "** ••"
 SUBSECTION = r"^\(\d+[A-Z]{0,3}\)"
-ROMAN = r"^\((?!l\))(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\)(?:\s|$)"
+GAP, SOLID = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"  # SQL's white space, which Java's and Python's exceed
+ROMAN = rf"^\((?!l\))(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}})\)(?:{GAP}|(?![\s\S]))"
 CLAUSE = r"^\([a-z]{1,3}\)"
-RULE = r"^\d{1,3}\.\s+[A-Z]"
-CITATION_HEAD = r"^\d+\.\S*"
-MARKER_HEAD = r"^(?:[\d*]+\s*\[+\s*)+(?:[\d*]+\s*)?"
+RULE = rf"^\d{{1,3}}\.{GAP}+[A-Z]"
+CITATION_HEAD = rf"^\d+\.{SOLID}*"
+MARKER_HEAD = rf"^(?:[\d*]+{GAP}*\[+{GAP}*)+(?:[\d*]+{GAP}*)?"
 FUSED_WORD = r"([a-z])(\d)\["
 FUSED_YEAR = r"(\d{4})(\d)\["
 BARE_MARKER = r"(?m)^[ \t]*(\d{1,3}\*?)[ \t]*\n[ \t]*\["
@@ -40,7 +41,7 @@ def all_caps(x: Column) -> Column:
 
 def line_class(line: Column) -> Column:
     """subsec, roman, clause, rule, htext or text; a marker may stand behind a citation or opening brackets."""
-    left = lambda x: F.regexp_replace(x, r"^\s+", "")
+    left = lambda x: F.regexp_replace(x, f"^{GAP}+", "")
     bare = left(F.coalesce(line, F.lit("")))
     probes = [bare, left(F.regexp_replace(bare, CITATION_HEAD, "")), left(F.regexp_replace(bare, MARKER_HEAD, ""))]
     # the first probe that has any marker decides

@@ -24,7 +24,7 @@ _PROBE = r"CASE WHEN regexp_matches({p}, '^\(\d+[A-Z]{{0,3}}\)') THEN 'subsec' W
 def line_classes(spark, sf_dir):
     head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
     first = T.first_line(F.col("text"))
-    line = F.when(F.col("doc_id") % 8 == 7, F.upper(first)).otherwise(F.concat(F.when(F.col("doc_id") % 8 < 7, head), first))
+    line = F.when(F.col("doc_id") % 8 == 7, T.simple_upper(first)).otherwise(F.concat(F.when(F.col("doc_id") % 8 < 7, head), first))
     return table(spark, sf_dir, "documents").select("doc_id", P.line_class(line).alias("class"))
 
 

@@ -37,3 +37,9 @@ def documents(*texts):
 def test_borders_and_line_ends_of_invariants_are_ascii(against_sql):
     found = against_sql("invariants_text", documents=documents("né1 st and 21 sté", "the 21 st year", "a\n.12\r\nb", "a\r.12\nb", "a\n.12\u2028b", "a\n.12", None))
     assert {(i, k) for i, k, _ in found} >= {("no_split_ordinals", 7), ("no_split_ordinals", 24)}
+
+
+def test_lines_of_sharp_s_and_odd_white_space(against_sql):
+    texts = ["Straße a b", "Straße", "straßen", "ŉabcdef", "ﬁ abcdef", "ᾳabcdeſ", "ßßßßßßßß", "\x0b(1) x", "\x0bCAPITALS ONLY", "\U00010428bcdefgß", None, ""]
+    found = dict(against_sql("line_classes", documents=documents(*texts)))
+    assert found[72 + 7] == "text"  # seven letters, eight if ß were two
