@@ -43,3 +43,11 @@ def test_lines_of_sharp_s_and_odd_white_space(against_sql):
     texts = ["Straße a b", "Straße", "straßen", "ŉabcdef", "ﬁ abcdef", "ᾳabcdeſ", "ßßßßßßßß", "\x0b(1) x", "\x0bCAPITALS ONLY", "\U00010428bcdefgß", None, ""]
     found = dict(against_sql("line_classes", documents=documents(*texts)))
     assert found[72 + 7] == "text"  # seven letters, eight if ß were two
+
+
+def test_report_families_of_any_length(against_sql):
+    families = ["1", "0012", "customs act", "customs act, 1969 as amended " + "x" * 90, "ÉTÉ", "000", "", "tax", "customer#0000000012", "é", None]
+    names = ["Customs Act, 1969", "CUSTOMS ACT, 1969 AS AMENDED " + "X" * 90 + " up to 2001", "customs act, 1969 as amended " + "x" * 89, "Customer#000000012", "été 12", "", "x", None, "12"]
+    suppliers = [(k, f and "Supplier#" + f) for k, f in enumerate(families)] + [(0, "Supplier#tax"), (20, "short")]
+    found = against_sql("report_documents", supplier=(suppliers, "s_suppkey long, s_name string"), customer=([(9 - k, n) for k, n in enumerate(names)], "c_custkey long, c_name string"))
+    assert (3, 8) in found  # a family of more than 100 characters
