@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from statuta import catalog
+from statuta.operators import structure
 from tests.test_queries import plain
 
 
@@ -26,6 +27,19 @@ def against_sql(spark, tmp_path):
     return compare
 
 
+def most_rows(df):
+    """The most rows that any operator of a query that has run gave out."""
+    rows, plans = [0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.metrics().contains("numOutputRows"):
+            rows.append(p.metrics().apply("numOutputRows").value())
+        name = p.getClass().getSimpleName()
+        under = [p.finalPhysicalPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        plans += under
+    return max(rows)
+
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -51,3 +65,14 @@ def test_report_families_of_any_length(against_sql):
     suppliers = [(k, f and "Supplier#" + f) for k, f in enumerate(families)] + [(0, "Supplier#tax"), (20, "short")]
     found = against_sql("report_documents", supplier=(suppliers, "s_suppkey long, s_name string"), customer=([(9 - k, n) for k, n in enumerate(names)], "c_custkey long, c_name string"))
     assert (3, 8) in found  # a family of more than 100 characters
+
+
+def test_placeholders_meet_one_bracket_of_each_marker(spark, against_sql):
+    orders = [(k % 7 * 400 + k % 3, k % 5, "OF"[k % 2]) for k in range(60)], "o_orderkey long, o_custkey long, o_orderstatus string"
+    items = [(k % 7 * 400 + k % 4, k % 5 + 50, k % 6 + 1, "RN"[k % 4 == 3]) for k in range(400)], "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+    assert against_sql("claimed_placeholders", orders=orders, lineitem=items)
+    notes = spark.createDataFrame([("d", 1, "3", f"Section {k} omitted") for k in range(200)], "document string, page long, marker string, text string")
+    lines = spark.createDataFrame([("d", k, 1, "3[ ]") for k in range(500)], "document string, at long, page long, text string")
+    found = structure.claim_placeholders(spark.createDataFrame([("d", str(k)) for k in range(201)], "document string, code string"), lines, notes)
+    assert sorted((r.code, r["at"]) for r in found.collect()) == sorted([(str(k), 0) for k in range(200)] + [("200", None)])
+    assert most_rows(found) <= 1_000  # 200 * 500 rows if notes met all brackets
