@@ -1,4 +1,6 @@
-"""Regression cases over document trees: every case is one aggregate over the nodes of a document, so all cases of all documents take one grouping.
+"""Regression cases over document trees: a case is an aggregate over the nodes of a document, so all cases of all documents take one grouping.
+
+Cases of codes in order take a second one over parts and divisions, and cases of different texts a third over these: no task collects a document's nodes.
 
 Nodes are as `statuta.sources.trees.nodes` gives them. A schedule target is the first schedule whose code holds the case's code;
 a section target the first leaf of the chapters with that code. A case whose target is missing fails, with found = false.
@@ -8,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,20 +109,60 @@ def no_note(case: Case, field: str) -> Column:
     return F.bool_and(F.when(is_leaf() & (F.size(notes_with(case.ref)) > 0), clean))
 
 
-def codes(scope: Column, wanted: Column, anchors: Column) -> Column:
-    """Folded codes of the wanted rows below the first anchor of the first root in scope, in order; null without an anchor."""
-    row = F.struct("root_at", (~anchors & ~is_level("root")).alias("below"), "part_at", "place", folded(F.col("code")).alias("code"), wanted.alias("wanted"), anchors.alias("anchor"))
-    rows = F.array_sort(F.collect_list(F.when(scope & (is_level("root") | anchors | wanted), row)))  # parts and divisions of a schedule: a few dozen
-    here = F.filter(rows, lambda r: r["root_at"] == F.get(rows, F.lit(0))["root_at"])
-    anchor = F.get(F.filter(here, lambda r: r["anchor"]), F.lit(0))
-    kept = F.filter(here, lambda r: r["wanted"] & (anchor["part_at"].isNull() | r["part_at"].eqNullSafe(anchor["part_at"])))
-    return F.when(anchor.isNotNull(), F.transform(kept, lambda r: r["code"]))
+@dataclass(frozen=True)
+class Codes:
+    """What is asked of the folded codes of the wanted rows below the first anchor of the first root in scope; null without an anchor. kept says which rows these are."""
+
+    scope: Column
+    wanted: Column
+    anchors: Column
+    ok: Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Texts:
+    """What is asked of the number of different values of all nodes of a document."""
+
+    values: Column
+    ok: Callable[[Column], Column]
+
+
+def at_codes(nodes: DataFrame, asked: dict[int, Codes]) -> DataFrame:
+    """document and a column for each of the asked: roots and anchors are found first, then the rows below them are counted."""
+    held = {i: q.scope & (is_level("root") | q.anchors | q.wanted) for i, q in asked.items()}
+    rows = nodes.select("document", "side", "level", "root_at", "root_code", "part_at", "part_code", "place", "code", "heading", F.col("plain_text").isNotNull().alias("__leaf"))
+    rows = rows.withColumn("plain_text", F.when(F.col("__leaf"), "")).filter(reduce(lambda a, b: a | b, held.values()))
+    least = [F.min(F.when(held[i], F.struct("root_at"))).alias(f"r{i}") for i in asked]
+    anchors = [F.min(F.when(q.scope & q.anchors, F.struct("root_at", (~q.anchors & ~is_level("root")).alias("below"), "part_at"))).alias(f"a{i}") for i, q in asked.items()]
+    firsts = rows.groupBy("document").agg(*least, *anchors).withColumnRenamed("document", "__document")
+    rows = rows.join(firsts, F.col("document").eqNullSafe(F.col("__document")))
+    below = lambda i: F.coalesce(F.col(f"a{i}.root_at") == F.col(f"r{i}.root_at"), F.lit(False))
+    kept = lambda i, q: q.scope & q.wanted & below(i) & (F.col("root_at") == F.col(f"r{i}.root_at")) & (F.col(f"a{i}.part_at").isNull() | F.col("part_at").eqNullSafe(F.col(f"a{i}.part_at")))
+    return rows.groupBy("document").agg(*(F.when(F.bool_or(below(i)), q.ok(F.coalesce(kept(i, q), F.lit(False)))).alias(f"c{i}") for i, q in asked.items()))
+
+
+def at_texts(nodes: DataFrame, asked: dict[int, Texts]) -> DataFrame:
+    """document and a column for each of the asked; no row for a document without values."""
+    of = lambda i: lambda v: F.struct(F.lit(i).alias("case"), v.alias("value"))
+    values = F.concat(*(F.transform(F.coalesce(q.values, F.array().cast("array<string>")), of(i)) for i, q in asked.items()))
+    rows = nodes.select("document", F.explode(values).alias("v")).select("document", "v.case", "v.value").distinct()
+    return rows.groupBy("document").agg(*(F.count_if(F.col("case") == i).alias(f"c{i}") for i in asked))
+
+
+def code_equal(code: str | None) -> Column:
+    return folded(F.col("code")) == F.lit(" ".join((code or "").upper().split()))
+
+
+def listed(kept: Column) -> Column:
+    """Codes of the kept rows in order, as an aggregate: parts or divisions of a part."""
+    row = F.struct((~is_level("root")).alias("below"), "part_at", "place", folded(F.col("code")).alias("code"))
+    return F.transform(F.array_sort(F.collect_list(F.when(kept, row))), lambda r: r["code"])
 
 
-def division_codes(case: Case) -> Column:
+def division_codes(case: Case, ok: Callable[[Column], Column]) -> Codes:
     if case.part:
-        return codes(in_schedule(case) & (is_level("root") | same_code("part_code", case.part)), is_level("division") & F.col("part_at").isNotNull(), is_level("part"))
-    return codes(in_schedule(case), is_level("division"), is_level("root"))
+        return Codes(in_schedule(case) & (is_level("root") | same_code("part_code", case.part)), is_level("division") & F.col("part_at").isNotNull(), is_level("part"), ok)
+    return Codes(in_schedule(case), is_level("division"), is_level("root"), ok)
 
 
 def words_of(arg: str | tuple[str, ...]) -> Column:
@@ -174,7 +217,7 @@ def like(case: Case) -> Callable[[Column], Column]:
     return lambda c: c.rlike(case.arg)
 
 
-CHECKS: dict[str, Callable[[Case], Column]] = {
+CHECKS: dict[str, Callable[[Case], Column | Codes | Texts]] = {
     "chapter_heading_equals": chapter_heading,
     "any_schedule_leaf_html_contains": lambda c: some(in_schedule(c), is_leaf(), holds("html", c.arg)),
     "section_heading_equals": lambda c: first(section_rows(c), F.lit(True), [F.col("place")], text("heading") == F.lit(c.arg), F.lit(0)),
@@ -185,9 +228,9 @@ CHECKS: dict[str, Callable[[Case], Column]] = {
     "footnote_html_has_table": lambda c: at_note(c.arg, lambda n: F.contains(F.coalesce(n["html"], F.lit("")), F.lit(NOTE_TABLE))),
     "schedule_has_table": lambda c: some(in_schedule(c), is_leaf(), holds("html", TABLE)),
     "division_table_count": lambda c: at_division(c, (F.size(F.split(text("html"), TABLE)) - 1) == int(c.arg), parts=False),
-    "division_code_count": lambda c: F.size(F.filter(division_codes(c), lambda x: x == F.lit(" ".join((c.div or "").upper().split())))) == int(c.arg),
-    "schedule_part_codes": lambda c: codes(in_schedule(c), is_level("part"), is_level("root")) == words_of(c.arg),
-    "part_division_codes": lambda c: division_codes(c) == words_of(c.arg),
+    "division_code_count": lambda c: division_codes(c, lambda kept: F.count_if(kept & code_equal(c.div)) == int(c.arg)),
+    "schedule_part_codes": lambda c: Codes(in_schedule(c), is_level("part"), is_level("root"), lambda kept: listed(kept) == words_of(c.arg)),
+    "part_division_codes": lambda c: division_codes(c, lambda kept: listed(kept) == words_of(c.arg)),
     "schedule_max_table_rows": lambda c: some(in_schedule(c), is_leaf(), largest_table() >= int(c.arg)),
     "schedule_code_equals": lambda c: first(in_schedule(c), is_level("root"), [], text("code") == F.lit(c.arg)),
     "division_heading_contains": lambda c: first(in_schedule(c), is_level("division") & same_code("code", c.div), [F.col("place")], holds("heading", c.arg)),
@@ -201,8 +244,7 @@ CHECKS: dict[str, Callable[[Case], Column]] = {
     "footnote_html_contains": lambda c: at_note(c.ref, lambda n: F.contains(F.coalesce(n["html"], F.lit("")), F.lit(c.arg))),
     "footnote_not_contains": lambda c: no_note(c, "text"),
     "footnote_html_not_contains": lambda c: no_note(c, "html"),
-    "footnote_ref_distinct_texts": lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(is_leaf(), F.transform(notes_with(c.ref), lambda n: F.coalesce(n["text"], F.lit(""))))))))
-    >= int(c.arg),
+    "footnote_ref_distinct_texts": lambda c: Texts(F.when(is_leaf(), F.transform(notes_with(c.ref), lambda n: F.coalesce(n["text"], F.lit("")))), lambda n: n >= int(c.arg)),
     "division_page_range": lambda c: at_division(c, F.concat_ws("-", "start_page", "end_page") == F.lit(c.arg)),
     "division_footnote_contains": lambda c: at_division(c, F.exists(notes_with(c.ref), lambda n: F.contains(F.coalesce(n["text"], F.lit("")), F.lit(c.arg)))),
     "footnote_refs_exact": lambda c: F.array_sort(refs(c)) == F.array(*map(F.lit, sorted(c.arg))).cast("array<string>"),
@@ -229,7 +271,15 @@ def run(nodes: DataFrame, cases: Iterable[Case]) -> DataFrame:
     cases = list(cases)
     if len({c.id for c in cases}) < len(cases):
         raise ValueError("ids of cases must differ")
-    by = nodes.groupBy("document").agg(*(CHECKS[c.kind](c).alias(f"c{i}") for i, c in enumerate(cases)))
+    asked = {i: CHECKS[c.kind](c) for i, c in enumerate(cases)}
+    of = lambda kind: {i: q for i, q in asked.items() if isinstance(q, kind)}
+    # the set has one value: with it Spark hashes the nodes, and does not sort them with their texts
+    by = nodes.groupBy("document").agg(F.collect_set("document").alias("__held"), *(q.alias(f"c{i}") for i, q in of(Column).items()))
+    for part, found in ((of(Codes), at_codes), (of(Texts), at_texts)):
+        if part:
+            more = found(nodes, part).withColumnRenamed("document", "__document")
+            by = by.join(more, F.col("document").eqNullSafe(F.col("__document")), "left").drop("__document")
+    by = by.withColumns({f"c{i}": q.ok(F.coalesce(f"c{i}", F.lit(0))) for i, q in of(Texts).items()})
     rows = [
         F.struct(
             F.lit(c.id).alias("id"), F.lit(c.kind).alias("kind"),

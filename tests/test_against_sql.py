@@ -76,3 +76,9 @@ def test_placeholders_meet_one_bracket_of_each_marker(spark, against_sql):
     found = structure.claim_placeholders(spark.createDataFrame([("d", str(k)) for k in range(201)], "document string, code string"), lines, notes)
     assert sorted((r.code, r["at"]) for r in found.collect()) == sorted([(str(k), 0) for k in range(200)] + [("200", None)])
     assert most_rows(found) <= 1_000  # 200 * 500 rows if notes met all brackets
+
+
+def test_regression_checks_collect_no_nodes(spark, against_sql, tmp_path):
+    rows = [(k, f"the text {k % 11}" if k % 13 else None, [None, "en", "de", "xen"][k // 308 % 4], [None, "src1", "src22", "s"][k // 7 % 4], 9) for k in range(3000)]
+    assert any(r[1] == "texts" and r[4] for r in against_sql("regression_checks", documents=(rows, DOCUMENTS)))
+    assert "collect_list" not in catalog.queries()["regression_checks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
