@@ -13,7 +13,7 @@ from statuta.functions import text as T
 from statuta.operators import detectors as D
 from statuta.operators import relations as R
 from statuta.operators.joins import small
-from statuta.session import ship
+from statuta.session import cut, ship
 from statuta.sources.tables import html_leaves, leaves, table
 
 SPACED = r"trim(regexp_replace(coalesce({x}, ''), '[ \t\r\n]+', ' ', 'g'))"
@@ -181,7 +181,8 @@ def variant_groups(spark, sf_dir):
 
 @query("blast_radius", f"WITH v AS ({VARIANT_SQL}), g AS (SELECT variant_key, count(*) AS radius, count(DISTINCT source) > 1 AS cross_family FROM v GROUP BY variant_key) SELECT doc_id, greatest(coalesce(radius, 1), 1) AS radius, cross_family FROM v JOIN g USING (variant_key)")
 def blast_radius(spark, sf_dir):
-    v = _variants(spark, sf_dir)
+    """Keys are computed once: a join on them would compute them for either side, and again for its filter of nulls."""
+    v = cut(_variants(spark, sf_dir).drop("lang"))
     g = v.groupBy("variant_key").agg(F.count("*").alias("radius"), (F.count_distinct("source") > 1).alias("cross_family"))
     return v.join(g, "variant_key").select("doc_id", F.greatest("radius", F.lit(1)).alias("radius"), "cross_family")
 

@@ -1,9 +1,13 @@
 """Queries against their SQL on small tables of odd rows."""
 
+import unicodedata
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from statuta import catalog
+from statuta.functions import text as T
 from statuta.operators import structure
 from tests.test_queries import plain
 
@@ -82,3 +86,23 @@ def test_regression_checks_collect_no_nodes(spark, against_sql, tmp_path):
     rows = [(k, f"the text {k % 11}" if k % 13 else None, [None, "en", "de", "xen"][k // 308 % 4], [None, "src1", "src22", "s"][k // 7 % 4], 9) for k in range(3000)]
     assert any(r[1] == "texts" and r[4] for r in against_sql("regression_checks", documents=(rows, DOCUMENTS)))
     assert "collect_list" not in catalog.queries()["regression_checks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+COPIES = [(k, [" one  two\n", "one two", "two", None, "e\u0301t\u00e9 \u2126", "\ufb01ne"][k % 6], ["en", "de", None][k // 6 % 3], f"src{k % 4}", 9) for k in range(60)]
+
+
+def python_passes(df):
+    """How many times a query that has run sends rows to Python, what it cut off before not counted."""
+    return df._jdf.queryExecution().executedPlan().toString().count("EvalPython")
+
+
+def test_variant_keys_are_computed_once(spark, against_sql, tmp_path):
+    rows = [(k, *r) for k, *r in COPIES if not (r[0] or "").startswith(("e", "\ufb01"))]  # SQL composes no characters
+    against_sql("blast_radius", documents=(rows, DOCUMENTS))
+    assert python_passes(catalog.queries()["blast_radius"](spark, str(tmp_path))) == 0
+
+
+def test_normal_texts_are_those_of_python(spark):
+    odd = ["\u2126 \ufb01 e\u0301", "\u00a8\u00a0\u3000x\x1c\x85y\x0b", "\u1e9b\u0323 \u00bd", "\u200b a", "", None, " \r\n"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(T.norm_text(F.col("t")).alias("x")).collect()]
+    assert got == [" ".join(unicodedata.normalize("NFKC", t or "").split()) for t in odd]
