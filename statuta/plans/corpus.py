@@ -197,7 +197,7 @@ def blast_radius(spark, sf_dir):
     """,
 )
 def approval_inheritance(spark, sf_dir):
-    v, labels = _variants(spark, sf_dir), table(spark, sf_dir, "labels")
+    v, labels = cut(_variants(spark, sf_dir).select("doc_id", "variant_key")), table(spark, sf_dir, "labels")
     approved = v.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").groupBy("variant_key").agg(F.min("doc_id").alias("origin"))
     free = v.join(labels.filter("toxic = 1"), "doc_id", "left_anti")
     return free.join(approved, "variant_key").select("doc_id", "origin", F.when(F.col("doc_id") == F.col("origin"), "approved").otherwise("inherited").alias("status"))

@@ -106,3 +106,10 @@ def test_normal_texts_are_those_of_python(spark):
     odd = ["\u2126 \ufb01 e\u0301", "\u00a8\u00a0\u3000x\x1c\x85y\x0b", "\u1e9b\u0323 \u00bd", "\u200b a", "", None, " \r\n"]
     got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(T.norm_text(F.col("t")).alias("x")).collect()]
     assert got == [" ".join(unicodedata.normalize("NFKC", t or "").split()) for t in odd]
+
+
+def test_approvals_are_inherited_by_keys_computed_once(spark, against_sql, tmp_path):
+    rows = [(k, *r) for k, *r in COPIES if not (r[0] or "").startswith(("e", "ﬁ"))]
+    labels = [(k, k % 3 % 2, int(k % 7 == 0)) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int"
+    assert against_sql("approval_inheritance", documents=(rows, DOCUMENTS), labels=labels)
+    assert python_passes(catalog.queries()["approval_inheritance"](spark, str(tmp_path))) == 0
