@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as T
+from statuta.session import cut
 
 OMITTED = r"(?i)\b(omitted|repealed)\b"
 
@@ -53,8 +54,8 @@ def glyph_split(leaves: DataFrame, pattern: str = T.GLYPH_SPLIT, most: int = 5)
 
 
 def markup_drift(leaves: DataFrame, group: list[str]) -> DataFrame:
-    """Leaves of equal text and different markup: each member of such a group."""
-    rows = leaves.select("section_id", *group, T.text_sha(T.strip_html(F.col("html_content"))).alias("text_sha"), T.html_shape(F.col("html_content")).alias("shape"))
+    """Leaves of equal text and different markup: each member of such a group. Hashes are computed once."""
+    rows = cut(leaves.select("section_id", *group, T.text_sha(T.strip_html(F.col("html_content"))).alias("text_sha"), T.html_shape(F.col("html_content")).alias("shape")))
     drifting = rows.groupBy(*group, "text_sha").agg(F.count("*").alias("members"), F.count_distinct("shape").alias("shapes")).filter("members >= 2 AND shapes > 1")
     return rows.join(drifting, [*group, "text_sha"]).select("section_id", *group, "members", "shapes", F.lit(0.4).alias("score"))
 

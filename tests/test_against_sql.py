@@ -113,3 +113,9 @@ def test_approvals_are_inherited_by_keys_computed_once(spark, against_sql, tmp_p
     labels = [(k, k % 3 % 2, int(k % 7 == 0)) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int"
     assert against_sql("approval_inheritance", documents=(rows, DOCUMENTS), labels=labels)
     assert python_passes(catalog.queries()["approval_inheritance"](spark, str(tmp_path))) == 0
+
+
+def test_markup_drift_hashes_are_computed_once(spark, against_sql, tmp_path):
+    pages = [(k, f"https://h{k % 3}.net/{['en', 'de'][k % 2]}/x", ["<p>a</p>", "<p>a </p>", "<h1>b</h1>", None, "a"][k % 5]) for k in range(40)], "page_id long, url string, html string"
+    assert against_sql("detect_markup_drift", pages=pages)
+    assert python_passes(catalog.queries()["detect_markup_drift"](spark, str(tmp_path))) == 0
