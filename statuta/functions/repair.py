@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,10 +60,15 @@ def merged_markers(x: Column) -> Column:
     return F.regexp_replace(x, BARE_MARKER, "$1[")
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once: what a lambda names is else computed for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def without_repeats(lines: Column) -> Column:
     """Lines without blank ones, and without those that repeat the line before."""
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    return F.filter(F.transform(trimmed, lambda x, i: F.when((x != "") & ((i == 0) | (x != F.get(trimmed, i - 1))), x)), lambda x: x.isNotNull())
+    kept = lambda t: F.filter(t, lambda x, i: (x != "") & ((i == 0) | (x != F.get(t, i - 1))))
+    return once(F.transform(lines, lambda x: F.trim(x)), kept)
 
 
 def heading_joined(before: Column, more: Column) -> Column:

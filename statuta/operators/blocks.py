@@ -67,15 +67,19 @@ def table_text(cells: Column) -> Column:
     texts = F.transform(F.regexp_extract_all(cells, F.lit(NOTE_CELL), 2), lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", "")))
     width = F.get(F.regexp_extract_all(cells, F.lit(NOTE_CELL), 1), F.lit(0)).cast("double")
     columns = F.greatest(F.lit(1), F.round(F.lit(100.0) / width).cast("int"))
-    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size(texts) - 1) / columns).cast("int")), lambda r: F.array_join(F.slice(texts, r * columns + 1, columns), " "))
-    return F.when(F.size(texts) > 0, F.array_join(rows, "\n")).otherwise("")
+
+    def shown(c: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), F.floor((F.size(c["t"]) - 1) / c["n"]).cast("int")), lambda r: F.array_join(F.slice(c["t"], r * c["n"] + 1, c["n"]), " "))
+        return F.when(F.size(c["t"]) > 0, F.array_join(rows, "\n")).otherwise("")
+
+    return P.once(F.struct(texts.alias("t"), columns.alias("n")), shown)
 
 
 def note_text(html: Column) -> Column:
     """A note's text from its HTML: marks as bare digits, tables row by row, blocks as lines, without blank lines and repeats of the line before."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), CITE, "$1")
-    gaps, tables = F.split(bare, NOTE_TABLE), F.transform(F.regexp_extract_all(bare, F.lit(NOTE_TABLE), 1), table_text)
-    whole = F.array_join(F.zip_with(gaps, tables, lambda g, t: F.concat(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit("")))), "")
+    parts = lambda b: F.zip_with(F.split(b, NOTE_TABLE), F.transform(F.regexp_extract_all(b, F.lit(NOTE_TABLE), 1), table_text), lambda g, t: F.concat(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit(""))))
+    whole = F.array_join(P.once(bare, parts), "")
     text = F.regexp_replace(F.regexp_replace(whole, "</(?:p|div)>", "\n"), "<[^>]+>", "")
     for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))

@@ -119,3 +119,10 @@ def test_markup_drift_hashes_are_computed_once(spark, against_sql, tmp_path):
     pages = [(k, f"https://h{k % 3}.net/{['en', 'de'][k % 2]}/x", ["<p>a</p>", "<p>a </p>", "<h1>b</h1>", None, "a"][k % 5]) for k in range(40)], "page_id long, url string, html string"
     assert against_sql("detect_markup_drift", pages=pages)
     assert python_passes(catalog.queries()["detect_markup_drift"](spark, str(tmp_path))) == 0
+
+
+def test_notes_are_read_once(spark, against_sql, tmp_path):
+    parts = [(k, f"Brand#{k}", k, "LARGE") for k in range(9)], "p_partkey long, p_brand string, p_size int, p_type string"
+    against_sql("note_texts", part=parts)
+    plan = catalog.queries()["note_texts"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('sup class="cite"[^>]') == 1  # the marks' pattern; each mention is computed anew for each line
