@@ -126,3 +126,10 @@ def test_notes_are_read_once(spark, against_sql, tmp_path):
     against_sql("note_texts", part=parts)
     plan = catalog.queries()["note_texts"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count('sup class="cite"[^>]') == 1  # the marks' pattern; each mention is computed anew for each line
+
+
+def test_detectors_union_hashes_pages_once(spark, against_sql, tmp_path):
+    pages = [(k, f"https://h{k % 3}.net/{['en', 'de'][k % 2]}/x", ["<p>a</p>", "<p>a </p>", "<h1>b</h1>", None, "a"][k % 5]) for k in range(40)], "page_id long, url string, html string"
+    rows = [(k, ["A B C word", "omitted", "x" * 400, "y", None][k % 5], "en", f"src{k % 2}", 9) for k in range(50)]
+    assert against_sql("detectors_union", pages=pages, documents=(rows, DOCUMENTS))
+    assert python_passes(catalog.queries()["detectors_union"](spark, str(tmp_path))) == 0
