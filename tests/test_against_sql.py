@@ -133,3 +133,10 @@ def test_detectors_union_hashes_pages_once(spark, against_sql, tmp_path):
     rows = [(k, ["A B C word", "omitted", "x" * 400, "y", None][k % 5], "en", f"src{k % 2}", 9) for k in range(50)]
     assert against_sql("detectors_union", pages=pages, documents=(rows, DOCUMENTS))
     assert python_passes(catalog.queries()["detectors_union"](spark, str(tmp_path))) == 0
+
+
+def test_structure_is_discovered_many_documents_at_once(spark):
+    rows = [(f"d{k}", i, t) for k in range(5) for i, t in enumerate(["PART I", "Beginnings", f"{k + 1}. Short title.— text", "9. Long title.— text", None])]
+    found = structure.discover(spark.createDataFrame(rows, "document string, at long, text string"))
+    assert sorted((r.document, r["at"], r.kind, r.code, r.container_at) for r in found.collect())[:3] == [("d0", 0, "part", "PART I", None), ("d0", 2, "section", "1", 0), ("d0", 3, "section", "9", 0)]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
