@@ -140,3 +140,11 @@ def test_structure_is_discovered_many_documents_at_once(spark):
     found = structure.discover(spark.createDataFrame(rows, "document string, at long, text string"))
     assert sorted((r.document, r["at"], r.kind, r.code, r.container_at) for r in found.collect())[:3] == [("d0", 0, "part", "PART I", None), ("d0", 2, "section", "1", 0), ("d0", 3, "section", "9", 0)]
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_where_texts_were_dealt(spark, against_sql, tmp_path):
+    rows = [(k % 7, ["one two two three", "", None, "ab ab cd x", "éa word"][k % 5] , "en", "s", 9) for k in range(20) if k < 7]
+    against_sql("conservation_audit", documents=(rows, DOCUMENTS))
+    df = catalog.queries()["conservation_audit"](spark, str(tmp_path))
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(doc_id") == 1
