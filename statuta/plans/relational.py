@@ -112,7 +112,7 @@ def folio_consensus(spark, sf_dir):
 def footnote_runs(spark, sf_dir):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-    lines = R.runs(table(spark, sf_dir, "lineitem").withColumn("k", k), ["l_orderkey"], ["k"], "l_returnflag")
+    lines = R.runs(table(spark, sf_dir, "lineitem").withColumn("k", k), ["l_orderkey"], order, "l_returnflag")  # the order of k, so that rows are sorted once
     return lines.groupBy("l_orderkey", "run", "l_returnflag").agg(F.count("*").alias("lines"), F.min("k").alias("first_line"), F.max("k").alias("last_line"))
 
 

@@ -148,3 +148,11 @@ def test_words_are_counted_where_texts_were_dealt(spark, against_sql, tmp_path):
     df = catalog.queries()["conservation_audit"](spark, str(tmp_path))
     df.collect()
     assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_runs_are_sorted_once(spark, against_sql, tmp_path):
+    rows = [(k % 3, k % 5, k % 2, k, 1.0, "ARN"[k // 4 % 3]) for k in range(60)]
+    against_sql("footnote_runs", lineitem=(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string"))
+    df = catalog.queries()["footnote_runs"](spark, str(tmp_path))
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 1
