@@ -119,9 +119,12 @@ def detect_markup_drift(spark, sf_dir):
     """,
 )
 def detectors_union(spark, sf_dir):
+    """Texts are read once, for all detectors."""
+    heading = T.first_line(F.col("plain_text"))
+    rows = cut(D.readings(leaves(spark, sf_dir), heading))
     return D.union(
-        ("regression_vs_previous_edition", "error", detect_regression(spark, sf_dir)), ("heading_only_body", "warning", detect_heading_only(spark, sf_dir)), ("short_vs_siblings", "warning", detect_short_vs_siblings(spark, sf_dir)),
-        ("glyph_split", "warning", detect_glyph_split(spark, sf_dir)), ("markup_only_drift", "info", detect_markup_drift(spark, sf_dir)),
+        ("regression_vs_previous_edition", "error", D.regression(rows)), ("heading_only_body", "warning", D.heading_only(rows, heading)), ("short_vs_siblings", "warning", D.short_vs_siblings(rows, ["family_key", "section_code"])),
+        ("glyph_split", "warning", D.glyph_split(rows)), ("markup_only_drift", "info", detect_markup_drift(spark, sf_dir)),
     )
 
 
@@ -205,7 +208,7 @@ def approval_inheritance(spark, sf_dir):
 
 @query("html_shapes", f"SELECT page_id, {SHAPE} AS shape, sha256({STRIPPED}) AS text_sha FROM pages")
 def html_shapes(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_shape(F.col("html")).alias("shape"), T.text_sha(T.strip_html(F.col("html"))).alias("text_sha"))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_hashes(F.col("html")).alias("h")).select("page_id", "h.shape", "h.text_sha")
 
 
 @query(

@@ -156,3 +156,15 @@ def test_runs_are_sorted_once(spark, against_sql, tmp_path):
     df = catalog.queries()["footnote_runs"](spark, str(tmp_path))
     df.collect()
     assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 1
+
+
+def test_detectors_union_reads_texts_once(spark, against_sql, tmp_path):
+    bodies = ["A  B\tC", "x A\nB C", "A B Cé", "A B C2", "the CHAP  TER", "SCHED\nule", "sect ION", "o mitted", "xR epealed", "R  epealed", "word A B", "\n\n x ", "head\nbody of the text", "head\n" + " " * 300 + "b", " head \r\n\tbody ", "é omitted é", "éomitted", "unrepealed", "REPEALED", "y" * 400, "  z" * 200 + "\n", "", None]
+    rows = [(k, bodies[k * 7 % 23], ["en", "de", None][k % 3], f"src{k % 2}", 9) for k in range(138)] + [(k, "z" * (k % 5 * 90 + 2), "en", "src2", 9) for k in range(200, 210)], DOCUMENTS
+    pages = [(k, "https://h.net/en/x", ["<p>a</p>", None][k % 2]) for k in range(6)], "page_id long, url string, html string"
+    found = against_sql("detectors_union", pages=pages, documents=rows)
+    assert {f[1] for f in found} == {"regression_vs_previous_edition", "heading_only_body", "short_vs_siblings", "glyph_split", "markup_only_drift"}
+    for name in ("detect_regression", "detect_heading_only", "detect_short_vs_siblings", "detect_glyph_split"):
+        against_sql(name, documents=rows)
+    read = catalog.queries()["detectors_union"](spark, str(tmp_path)).inputFiles()
+    assert not [f for f in read if "documents.parquet" in f]  # what is asked of texts was computed before, for all detectors
