@@ -7,12 +7,15 @@ doc (document, total_pages, sections_count, preamble, zone_mode, ...). Patterns
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as T
+from statuta.operators.joins import small
+from statuta.session import cut
 
 #: Invariants that one pattern over one column of a leaf decides.
 LEAF_PATTERNS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -28,6 +31,25 @@ LEAF_PATTERNS: dict[str, tuple[tuple[str, ...], str]] = {
     "no_formula_legend_inside_cell": (("html",), r"(?i)<td[^>]*>[^<]*\bwhere\s+[A-Z]\s+is\s+the\b"),
     "no_inline_formula_legend": (("html",), r"(?i)class=\"formula\"[^>]*>[^<]*</\w+>\s*(?:<[^>]+>\s*)*where\b(?![^<]*legend)"),
 }
+
+
+def _one_of(characters: str) -> str:
+    """A class of single characters: Java looks these up, while it tries ranges one after the other."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in characters)
+
+
+#: Signs: what no text lacks that one of the patterns matches, with a rare first character, so that most texts are passed over at little cost.
+DIGIT, LETTER = f"[{_one_of(string.digits)}]", f"[{_one_of(string.ascii_letters)}]"
+_USUAL = _one_of("".join(c for c in map(chr, (9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x100))) if c not in string.digits + ".bB"))
+PLAIN_SIGN = (
+    rf"[^{_USUAL}](?:(?<=[0-9])(?:\[| (?:st|nd|rd|th))|(?<=(?:\A|[\n\r\u0085\u2028\u2029])\.)[0-9][0-9]|(?<=[bB])[lL][eE] [wW][aA][sS] [sS]|"
+    r"(?<=[\x00-\x08\x0B\x0C\x0E-\x1F\uE000-\uF8FF]))"
+)
+MARKER_SIGN = DIGIT + r"\*?\s*[\u0085\u2028\u2029]?\n"
+STRUCTURAL_SIGN = r"[CPpDd](?:HAPTER|[aA][rR][tT]|[iI][vV][iI][sS][iI][oO][nN])\s+[IVXLC\d]"
+BLEED_SIGN = DIGIT + DIGIT + r"\s*[\u0085\u2028\u2029]?(?:\n|\z)"
+JAMMED_SIGN = f"[^{LETTER[1:]}{LETTER}{{25}}"
+SPACED_SIGN = r" [A-Za-z] (?<=(?:\A|[^0-9A-Za-z_])[A-Za-z] [A-Za-z] )[A-Za-z](?![0-9A-Za-z_])"
 CITED = r'<sup class="cite"[^>]*>([^<]+)</sup>'
 WORDS = ("the", "and", "of", "shall", "which", "that", "with", "under", "for", "this", "from", "section", "any", "such")
 STRUCTURAL = r"^\W*(?:CHAPTER\s+[IVXLC\d]+|(?i:PART)\s+[IVXLC\d]+[A-Z]?|(?i:DIVISION)\s+[IVXLC\d]+[A-Z]?)\W*$"
@@ -39,49 +61,63 @@ def violation(rows: DataFrame, name: str, subject: Column | str, evidence: Colum
     return rows.select("document", F.lit(name).alias("invariant"), as_column(subject).cast("string").alias("subject"), F.substring(as_column(evidence).cast("string"), 1, 200).alias("evidence"))
 
 
-def by_pattern(leaf: DataFrame) -> DataFrame:
-    """All one-pattern invariants in one pass over the leaves."""
-    found = []
-    for name, (columns, pattern) in LEAF_PATTERNS.items():
-        hits = F.coalesce(*(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), f"({pattern})", 1), F.lit("")) for c in columns))
-        found.append(F.struct(F.lit(name).alias("invariant"), hits.alias("evidence")))
-    rows = leaf.select("document", "section_id", F.explode(F.array(*found)).alias("v")).filter("v.evidence IS NOT NULL")
-    return rows.select("document", "v.invariant", F.col("section_id").cast("string").alias("subject"), "v.evidence")
+def _hit(name: str, when: Column, evidence: Column) -> Column:
+    return F.when(when, F.struct(F.lit(name).alias("invariant"), F.substring(evidence.cast("string"), 1, 200).alias("evidence")))
 
 
-def lines(leaf: DataFrame) -> DataFrame:
-    return leaf.select("document", "section_id", F.posexplode(F.split(F.coalesce("plain_text", F.lit("")), "\n")).alias("at", "line"))
+def _plain() -> Column:
+    return F.coalesce("plain_text", F.lit(""))
 
 
-def bare_marker_lines(leaf: DataFrame) -> DataFrame:
-    """A marker alone on a line above one that opens a bracket; and above one that tells of an edit."""
-    w = Window.partitionBy("document", "section_id").orderBy("at")
-    rows = lines(leaf).withColumn("below", F.lead("line").over(w)).filter(F.col("line").rlike(r"^\s*\d{1,3}\*?\s*$"))
-    first = violation(rows.filter(F.col("below").rlike(r"^\s*\[")), "no_bare_footnote_marker_line", "section_id", "line")
-    edit = F.col("below").rlike(r"^\s*[A-Z].*\b(?i:substituted|inserted|omitted|added|repealed)\b")
-    return first.unionByName(violation(rows.filter(edit), "no_footnote_note_in_body", "section_id", "below"))
+def by_pattern() -> dict[str, Column]:
+    """Evidence of each one-pattern invariant."""
+    found = {}
+    for name, (columns, pattern) in LEAF_PATTERNS.items():
+        hit = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), f"({pattern})", 1), F.lit(""))  # noqa: B023, E731
+        found[name] = F.coalesce(*(F.when(_plain().rlike(PLAIN_SIGN), hit(c)) if c == "plain_text" else hit(c) for c in columns))
+    return found
 
 
-def stray_space_hyphen(leaf: DataFrame) -> DataFrame:
-    """Words cut by a hyphen and a space whose joined form the document has elsewhere."""
-    words = leaf.select("document", F.explode(F.regexp_extract_all(F.lower(F.coalesce("plain_text", F.lit(""))), F.lit("([a-z]{3,})"), 1)).alias("word")).distinct()
-    cut = leaf.select("document", "section_id", F.explode(F.regexp_extract_all(F.coalesce("plain_text", F.lit("")), F.lit(r"([a-z]+- [a-z]+)"), 1)).alias("cut"))
-    cut = cut.withColumn("word", F.replace(F.col("cut"), F.lit("- "), F.lit("")))
-    return violation(cut.join(words, ["document", "word"]), "no_stray_space_hyphen", "section_id", "cut")
+def bare_marker_lines() -> Column:
+    """A marker alone on a line above one that opens a bracket; and above one that tells of an edit."""
+    lines = F.split(_plain(), "\n")
 
+    def one(line: Column, at: Column) -> Column:
+        below, bare = F.get(lines, at + 1), line.rlike(r"^\s*\d{1,3}\*?\s*$")
+        edit = below.rlike(r"^\s*[A-Z].*\b(?i:substituted|inserted|omitted|added|repealed)\b")
+        return F.array(_hit("no_bare_footnote_marker_line", bare & below.rlike(r"^\s*\["), line), _hit("no_footnote_note_in_body", bare & edit, below))
 
-def glyph_spaced(leaf: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of single letters whose joined form is a word that the document has `least` times."""
-    words = leaf.select("document", F.explode(F.regexp_extract_all(F.lower(F.coalesce("plain_text", F.lit(""))), F.lit("([a-z]{3,})"), 1)).alias("word")).groupBy("document", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    runs = leaf.select("document", "section_id", F.explode(F.regexp_extract_all(F.coalesce("plain_text", F.lit("")), F.lit(r"\b((?:[A-Za-z] ){2,}[A-Za-z])\b"), 1)).alias("run"))
-    return violation(runs.withColumn("word", F.lower(F.replace(F.col("run"), F.lit(" "), F.lit("")))).join(words, ["document", "word"]), "no_glyph_spaced_cell", "section_id", "run")
+    return F.when(_plain().rlike(MARKER_SIGN), F.flatten(F.transform(lines, one)))
 
 
-def jammed_words(leaf: DataFrame) -> DataFrame:
+def jammed_words() -> Column:
     """Runs of 25 letters or more that hold two function words or more."""
-    runs = leaf.select("document", "section_id", F.explode(F.regexp_extract_all(F.coalesce("plain_text", F.lit("")), F.lit("([A-Za-z]{25,})"), 1)).alias("run"))
-    held = F.size(F.filter(F.array(*map(F.lit, WORDS)), lambda w: F.contains(F.lower("run"), w)))
-    return violation(runs.filter(held >= 2), "no_jammed_words", "section_id", "run")
+    runs = F.regexp_extract_all(_plain(), F.lit("([A-Za-z]{25,})"), 1)
+    held = lambda run: F.size(F.filter(F.array(*map(F.lit, WORDS)), lambda w: F.contains(F.lower(run), w)))
+    return F.when(F.concat(F.lit(" "), _plain()).rlike(JAMMED_SIGN), F.transform(runs, lambda run: _hit("no_jammed_words", held(run) >= 2, run)))
+
+
+def words_cut() -> Column:
+    """Words cut by a hyphen and a space."""
+    return F.when(F.contains(_plain(), F.lit("- ")), F.regexp_extract_all(_plain(), F.lit(r"([a-z]+- [a-z]+)"), 1))
+
+
+def words_spaced() -> Column:
+    """Runs of single letters."""
+    return F.when(_plain().rlike(SPACED_SIGN), F.regexp_extract_all(_plain(), F.lit(r"\b((?:[A-Za-z] ){2,}[A-Za-z])\b"), 1))
+
+
+def joined_words(leaf: DataFrame, rows: DataFrame, least: int = 5) -> DataFrame:
+    """Words cut or spaced (arrays cut and spaced of rows) whose joined form the document has elsewhere, for spaced ones `least` times. Of the document's words only those are counted."""
+    part = lambda name, word, n: F.transform(name, lambda x: F.struct(F.lit({"cut": "no_stray_space_hyphen", "spaced": "no_glyph_spaced_cell"}[name]).alias("invariant"), x.alias("evidence"), word(x).alias("word"), F.lit(n).alias("least")))
+    either = [rows.select("document", "section_id", F.inline(part(name, word, n))) for name, word, n in (("cut", lambda x: F.replace(x, F.lit("- "), F.lit("")), 1), ("spaced", lambda x: F.lower(F.replace(x, F.lit(" "), F.lit(""))), least))]
+    found = either[0].unionByName(either[1])
+    wanted = found.select("document", "word").distinct()
+    texts = leaf if wanted.head(1) else leaf.filter(F.lit(False))
+    words = texts.select("document", F.explode(F.regexp_extract_all(F.lower(_plain()), F.lit("([a-z]{3,})"), 1)).alias("word"))
+    held = words.join(small(wanted), ["document", "word"]).groupBy("document", "word").agg(F.count("*").alias("n"))
+    met = found.join(held, ["document", "word"]).filter("n >= least")
+    return met.select("document", "invariant", F.col("section_id").cast("string").alias("subject"), F.substring("evidence", 1, 200).alias("evidence"))
 
 
 def duplicate_division_codes(leaf: DataFrame) -> DataFrame:
@@ -99,22 +135,25 @@ def parts_contiguous(leaf: DataFrame) -> DataFrame:
     return violation(gaps, "schedule_parts_contiguous", "chapter_code", "missing")
 
 
-def page_number_bleed(leaf: DataFrame, offset: int = 0) -> DataFrame:
+def page_number_bleed(offset: int = 0) -> Column:
     """Lines that end in punctuation and a number that is a page of the leaf."""
-    spans = leaf.filter("end_page - start_page <= 10").select("document", "section_id", "start_page", "end_page", F.explode(F.split(F.coalesce("plain_text", F.lit("")), "\n")).alias("line"))
-    number = F.nullif(F.regexp_extract("line", r"[.;:,—-]\s*(\d{2,4})\s*$", 1), F.lit("")).cast("int")
-    rows = spans.withColumn("number", number).filter(F.col("number").between(F.col("start_page"), F.col("end_page")) | (F.col("number") + offset).between(F.col("start_page"), F.col("end_page")))
-    return violation(rows.filter(~F.col("line").rlike(r"(?i)(?:rs\.?|rupees|section)\s*[\d,]+\s*$")), "no_page_number_bleed", "section_id", "line")
+
+    def one(line: Column) -> Column:
+        number = F.nullif(F.regexp_extract(line, r"[.;:,—-]\s*(\d{2,4})\s*$", 1), F.lit("")).cast("int")
+        within = number.between(F.col("start_page"), F.col("end_page")) | (number + offset).between(F.col("start_page"), F.col("end_page"))
+        return _hit("no_page_number_bleed", within & ~line.rlike(r"(?i)(?:rs\.?|rupees|section)\s*[\d,]+\s*$"), line)
+
+    return F.when((F.col("end_page") - F.col("start_page") <= 10) & _plain().rlike(BLEED_SIGN), F.transform(F.split(_plain(), "\n"), one))
 
 
 def footnote_rows(note: DataFrame) -> DataFrame:
     """Schema, page and year of references; ordinals cut from their numbers."""
-    missing = violation(note.filter("ref IS NULL OR marker IS NULL OR text IS NULL OR html IS NULL"), "footnote_schema", "section_id", "ref")
     page = F.nullif(F.regexp_extract(F.coalesce("ref", F.lit("")), r"^(\d+)\.", 1), F.lit("")).cast("int")
-    pages = violation(note.filter(page.isNull() | (page > 900)), "footnote_refs_printed_page", "section_id", "ref")
-    years = violation(note.filter(T.is_year_like(F.regexp_extract(F.coalesce("ref", F.lit("")), r"\.([^.]*)$", 1))), "no_year_marker_refs", "section_id", "ref")
-    split = violation(note.filter(F.coalesce("text", F.lit("")).rlike(r"\b\d+ (?:st|nd|rd|th)\b|^(?:st|nd|rd|th)\b")), "no_split_ordinals", "section_id", "ref")
-    return missing.unionByName(pages).unionByName(years).unionByName(split)
+    hits = F.array(
+        _hit("footnote_schema", F.expr("ref IS NULL OR marker IS NULL OR text IS NULL OR html IS NULL"), F.col("ref")), _hit("footnote_refs_printed_page", page.isNull() | (page > 900), F.col("ref")),
+        _hit("no_year_marker_refs", T.is_year_like(F.regexp_extract(F.coalesce("ref", F.lit("")), r"\.([^.]*)$", 1)), F.col("ref")), _hit("no_split_ordinals", F.coalesce("text", F.lit("")).rlike(r"\b\d+ (?:st|nd|rd|th)\b|^(?:st|nd|rd|th)\b"), F.col("ref")),
+    )
+    return in_rows(note.select("document", "section_id", F.explode(hits).alias("v")))
 
 
 def footnote_order(note: DataFrame) -> DataFrame:
@@ -125,26 +164,37 @@ def footnote_order(note: DataFrame) -> DataFrame:
     return violation(rows.filter(F.col("before") > F.col("key")), "footnotes_in_numeric_order", "section_id", "ref")
 
 
-def html_form(leaf: DataFrame) -> DataFrame:
+def html_form() -> dict[str, Column]:
+    """Evidence of each invariant of a leaf's HTML, text and heading as a whole."""
     html = F.coalesce("html", F.lit(""))
     opened, closed = F.regexp_count(html, F.lit(r"(?i)<strong\b")), F.regexp_count(html, F.lit("(?i)</strong>"))
-    strong = violation(leaf.filter(opened != closed), "strong_balanced", "section_id", F.concat_ws("/", opened, closed))
     head = F.regexp_extract(html, r"(?i)<table[\s\S]*?<thead>([\s\S]*?)</thead>", 1)
     body = F.regexp_extract(html, r"(?i)<table[\s\S]*?<tbody>([\s\S]*?)</tbody>", 1)
     numbering = r"(?i)<t[dh][^>]*>\s*\(\d\)\s*</t[dh]>"
-    table = violation(leaf.filter((head != "") & ~head.rlike(numbering) & body.rlike(numbering)), "numbering_row_in_thead", "section_id", F.substring(body, 1, 80))
-    marker = F.regexp_extract(F.coalesce("plain_text", F.lit("")), r"^\s*(\d{1,3})\[", 1)
-    cited = violation(leaf.filter((marker != "") & ~html.rlike(r"(?i)<sup|class=\"[^\"]*(?:cite|marker)")), "leading_marker_cited", "section_id", marker)
-    word = F.lower(F.regexp_extract(F.coalesce("heading", F.lit("")), r"([A-Za-z]{4,})\W*$", 1))
-    first = F.lower(F.regexp_extract(F.coalesce("plain_text", F.lit("")), r"^\W*([A-Za-z]{4,})", 1))
-    return strong.unionByName(table).unionByName(cited).unionByName(violation(leaf.filter((word != "") & (word == first)), "no_heading_word_duplication", "section_id", word))
+    marker = F.regexp_extract(_plain(), r"^\s*(\d{1,3})\[", 1)
+    word = F.lower(F.regexp_extract(F.coalesce("heading", F.lit("")), r"(?<![A-Za-z])([A-Za-z]{4,}+)\W*+$", 1))
+    first = F.lower(F.regexp_extract(_plain(), r"^\W*([A-Za-z]{4,})", 1))
+    return {
+        "strong_balanced": F.when(opened != closed, F.concat_ws("/", opened, closed)), "numbering_row_in_thead": F.when((head != "") & ~head.rlike(numbering) & body.rlike(numbering), F.substring(body, 1, 80)),
+        "leading_marker_cited": F.when((marker != "") & ~html.rlike(r"(?i)<sup|class=\"[^\"]*(?:cite|marker)"), marker), "no_heading_word_duplication": F.when((word != "") & (word == first), F.substring(word, 1, 200)),
+    }
 
 
-def structural_lines(leaf: DataFrame) -> DataFrame:
+def structural_hits() -> Column:
     """Lines in a body that are a chapter, part or division heading, before any quotation begins."""
-    w = Window.partitionBy("document", "section_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(leaf).withColumn("quoted", F.max(F.col("line").rlike("[\"“”‘]").cast("int")).over(w))
-    return violation(rows.filter((F.col("quoted") == 0) & F.col("line").rlike(STRUCTURAL)), "no_structural_heading_in_body", "section_id", "line")
+    quote = "[\"“”‘]"
+    before = F.split(F.get(F.split(_plain(), quote, 2), 0), "\n")
+    lines = F.when(_plain().rlike(quote), F.slice(before, F.lit(1), F.size(before) - 1)).otherwise(before)  # the line of the quotation mark goes
+    return F.when(_plain().rlike(STRUCTURAL_SIGN), F.transform(lines, lambda line: _hit("no_structural_heading_in_body", line.rlike(STRUCTURAL), line)))
+
+
+def in_rows(hits: DataFrame) -> DataFrame:
+    """Violations of hits v, where there are some."""
+    return hits.filter("v IS NOT NULL").select("document", "v.invariant", F.col("section_id").cast("string").alias("subject"), "v.evidence")
+
+
+def structural_lines(leaf: DataFrame) -> DataFrame:
+    return in_rows(leaf.select("document", "section_id", F.explode(structural_hits()).alias("v")))
 
 
 def code_order(leaf: DataFrame) -> DataFrame:
@@ -163,9 +213,8 @@ def clause_codes(leaf: DataFrame, first: int = 3, jump: int = 8) -> DataFrame:
 
 
 def document_rows(leaf: DataFrame, note: DataFrame, doc: DataFrame) -> DataFrame:
-    """Counts and states of whole documents."""
-    size = F.char_length(F.coalesce("plain_text", F.lit(""))) + F.char_length(T.strip_html(F.col("html")))
-    counted = leaf.groupBy("document").agg(F.sum(size).alias("chars"), F.count("*").alias("leaves"), F.count_if(F.col("hierarchy_kind") == "chapter").alias("in_chapters"))
+    """Counts and states of whole documents; leaf: document, hierarchy_kind, chars."""
+    counted = leaf.groupBy("document").agg(F.sum("chars").alias("chars"), F.count("*").alias("leaves"), F.count_if(F.col("hierarchy_kind") == "chapter").alias("in_chapters"))
     notes = note.groupBy("document").agg(F.count("*").alias("notes"))
     rows = doc.join(counted, "document", "left").join(notes, "document", "left").fillna(0, ["chars", "leaves", "in_chapters", "notes"])
     density = (F.col("chars") + F.char_length(F.coalesce("preamble", F.lit("")))) / F.greatest("total_pages", F.lit(1))
@@ -191,21 +240,44 @@ def ocr_rows(doc: DataFrame) -> DataFrame:
     return floor.unionByName(violation(scanned.filter(flagged | reason), "provisional_is_flagged", "document", "reason"))
 
 
-def citations_resolve(leaf: DataFrame, note: DataFrame, share: float = 0.8) -> DataFrame:
-    """Leaves that cite references; of those that exist, fewer than `share` are among the leaf's own notes."""
-    cites = leaf.select("document", "section_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CITED), 1))).alias("ref"))
+def citations_resolve(cites: DataFrame, note: DataFrame, share: float = 0.8) -> DataFrame:
+    """Leaves that cite references (cites: document, section_id, ref); of those that exist, fewer than `share` are among the leaf's own notes. Only notes that are cited are compared."""
+    cited = cites.select("document", "ref").distinct()
+    note = (note if cited.head(1) else note.filter(F.lit(False))).join(small(cited), ["document", "ref"], "left_semi")
     own = note.select("document", "section_id", "ref", F.lit(1).alias("own")).distinct()
     known = note.select("document", "ref", F.lit(1).alias("known")).distinct()
     rows = cites.join(own, ["document", "section_id", "ref"], "left").join(known, ["document", "ref"]).groupBy("document").agg(F.sum(F.coalesce("own", F.lit(0))).alias("bound"), F.count("*").alias("all"))
     return violation(rows.filter(F.col("bound") < share * F.col("all")), "citation_refs_resolve", "document", F.concat_ws("/", "bound", "all"))
 
 
-LEAF: tuple[Callable[[DataFrame], DataFrame], ...] = (by_pattern, bare_marker_lines, stray_space_hyphen, glyph_spaced, jammed_words, duplicate_division_codes, parts_contiguous, page_number_bleed, html_form, structural_lines, code_order, clause_codes)
+#: Hits in a text's lines and words, and violations among a document's leaves.
+HITS: tuple[Callable[[], Column], ...] = (bare_marker_lines, jammed_words, page_number_bleed, structural_hits)
+AMONG: tuple[Callable[[DataFrame], DataFrame], ...] = (duplicate_division_codes, parts_contiguous, code_order, clause_codes)
+
+
+def readings(leaf: DataFrame) -> DataFrame:
+    """What the invariants ask of each leaf's text, in one pass: hits, words cut and spaced, references cited, length."""
+    none = F.array().cast("array<struct<invariant:string,evidence:string>>")
+    cites = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CITED), 1))
+    size = F.char_length(_plain()) + F.char_length(T.strip_html(F.col("html")))
+    whole = by_pattern() | html_form()
+    read = leaf.select(
+        "document", "section_id", "hierarchy_kind", *(e.alias(f"of_{name}") for name, e in whole.items()), *(h().alias(f"in_{i}") for i, h in enumerate(HITS)),
+        words_cut().alias("cut"), words_spaced().alias("spaced"), cites.alias("refs"), size.alias("chars"),
+    )
+    # a second step, so that what is used twice is computed once
+    some = F.coalesce(*(F.col(f"of_{name}") for name in whole)).isNotNull()
+    held = F.when(some, F.filter(F.array(*(F.struct(F.lit(name).alias("invariant"), F.col(f"of_{name}").alias("evidence")) for name in whole)), lambda v: v["evidence"].isNotNull()))
+    hits = F.flatten(F.array(*(F.coalesce(c, none) for c in (held, *(F.col(f"in_{i}") for i in range(len(HITS)))))))
+    return read.select("document", "section_id", "hierarchy_kind", hits.alias("hits"), "cut", "spaced", "refs", "chars")
 
 
 def violations(leaf: DataFrame, note: DataFrame, doc: DataFrame) -> DataFrame:
-    out = document_rows(leaf, note, doc).unionByName(footnote_rows(note)).unionByName(footnote_order(note)).unionByName(citations_resolve(leaf, note))
-    for f in LEAF:
+    """Texts are read once; and once more for the words that are sought, if there are some."""
+    rows = cut(readings(leaf))
+    out = document_rows(rows, note, doc).unionByName(footnote_rows(note)).unionByName(footnote_order(note)).unionByName(citations_resolve(rows.select("document", "section_id", F.explode("refs").alias("ref")), note))
+    out = out.unionByName(in_rows(rows.select("document", "section_id", F.explode("hits").alias("v")))).unionByName(cut(joined_words(leaf, rows)))
+    for f in AMONG:
         out = out.unionByName(f(leaf))
     return out
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from statuta import catalog
 from statuta.functions import python as P
 from statuta.functions import text as T
 from statuta.operators import detectors, geometry, invariants, merge, relations
@@ -170,3 +171,27 @@ def test_streams(spark, tmp_path):
     seen = []
     S.write_batches(S.event_stream(spark, SF).select("event_id"), lambda df, k: seen.append(df.count()), str(tmp_path / "d"))
     assert sum(seen) == n
+
+
+def test_signs_hide_no_violation(spark):
+    odd = ["x2[a", "é1999[ 19990[", "", "\n.12 b", "a\r.123", ".12", "9.12\n.1", "21 st", "a1 nd é", "3 rds", "\x0bx", "é\x1f", "x THE Following table was Substituted", "table was said", "café 12", "", None]
+    odd += ["12 \n[a", " 3* \n\n Was omitted", "3\n Word substituted", "4\r\n[x", "[4\n", "and the of andtheofsuchwhichthatwith x", "éandtheofsuchwhichthatwithx", "ab- cd abcd", "ab - cd", "A B C abc abc abc abc abc", "xA B C é", "PART 2\n“\nPART 3", "(part iv)\nPART IV", "a “\nCHAPTER I", "x. 12 \ny, 13", "rs. 12\n;— 11 ", "12, 11"]
+    leaf = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "section_id long, plain_text string").selectExpr("'d' document", "section_id", "plain_text", "string(null) html", "plain_text heading", "10 start_page", "14 end_page")
+    x = F.coalesce("plain_text", F.lit(""))
+    for name, e in invariants.by_pattern().items():
+        columns, pattern = invariants.LEAF_PATTERNS[name]
+        if "plain_text" in columns:
+            assert leaf.filter(~e.eqNullSafe(F.nullif(F.regexp_extract(x, f"({pattern})", 1), F.lit("")))).collect() == []
+    hits = {h.__name__: sorted((r.section_id, r.v.invariant, r.v.evidence) for r in leaf.select("section_id", F.explode(h()).alias("v")).collect() if r.v) for h in invariants.HITS}
+    at = odd.index("12 \n[a")
+    assert hits["bare_marker_lines"] == [(at, "no_bare_footnote_marker_line", "12 "), (at + 2, "no_footnote_note_in_body", " Word substituted"), (at + 3, "no_bare_footnote_marker_line", "4\r")]
+    assert [h[0] for h in hits["jammed_words"]] == [at + 5, at + 6]
+    assert [(h[0], h[2]) for h in hits["structural_hits"]] == [(odd.index("PART 2\n“\nPART 3"), "PART 2"), (odd.index("(part iv)\nPART IV"), "PART IV")]
+    assert [(odd[h[0]], h[2]) for h in hits["page_number_bleed"] if h[0] >= len(odd) - 3] == [("x. 12 \ny, 13", "x. 12 "), ("x. 12 \ny, 13", "y, 13"), ("rs. 12\n;— 11 ", ";— 11 "), ("12, 11", "12, 11")]
+    rows = leaf.select("document", "section_id", invariants.words_cut().alias("cut"), invariants.words_spaced().alias("spaced"))
+    assert sorted((r.subject, r.invariant, r.evidence) for r in invariants.joined_words(leaf, rows).collect()) == sorted([(str(odd.index("ab- cd abcd")), "no_stray_space_hyphen", "ab- cd"), (str(odd.index("A B C abc abc abc abc abc")), "no_glyph_spaced_cell", "A B C")])
+
+
+def test_invariants_read_texts_before_they_are_joined(spark):
+    plan = catalog.queries()["invariants_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "text:string" not in plan  # texts were read once and cut off; each invariant read them, and twice, before
