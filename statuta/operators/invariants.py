@@ -283,8 +283,9 @@ def violations(leaf: DataFrame, note: DataFrame, doc: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame, most: int = 20) -> DataFrame:
-    """Failures of each document and invariant, with the first `most` subjects."""
-    w = Window.partitionBy("document", "invariant").orderBy("subject", "evidence")
+    """Failures of each document and invariant, with the first `most` subjects. Evidence is not carried: it decides nothing among equal subjects."""
+    found = found.select("document", "invariant", "subject")
+    w = Window.partitionBy("document", "invariant").orderBy("subject")
     counted = found.groupBy("document", "invariant").agg(F.count("*").alias("failures"))
     first = found.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).groupBy("document", "invariant").agg(F.sort_array(F.collect_list("subject")).alias("subjects"))
     return counted.join(first, ["document", "invariant"])
